@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, recipes
+from quillspark.llm import langid, mixing, packing, recipes
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,15 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @query("op9_chunk_recipes", COPIES_SQL)
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_bigru_langid")
+def op7_bigru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    net = langid.train(docs.filter("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), net).drop("text")
+
+
+@query("op8_slack_packing")
+def op8_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary())
