@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, mixing, packing, recipes
+from quillspark.llm import langid, licenses, mixing, packing, recipes
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op7_bigru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_slack_packing")
 def op8_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary())
+
+
+@query("op4_license_diagonals")
+def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
