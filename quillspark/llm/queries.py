@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, licenses, mixing, neardup, packing, recipes
+from quillspark.llm import hashing_ann, langid, licenses, mixing, neardup, packing, recipes, rotation, suffixes, wrappers
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,46 @@ def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
+ROTATION_SQL = """
+WITH rows AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         coalesce(CAST(floor(turn / 64.0) AS BIGINT), 0) AS block FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 'system'),
+heads AS (
+  SELECT r.*, s.speaker, r.role = s.speaker AS own,
+    CASE WHEN r.role = 'system' THEN '<|system|>' WHEN r.role = s.speaker THEN '<|assistant|>'
+         ELSE '<|user name=' || r.role || '|>' END || chr(10) AS head
+  FROM rows r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+parts AS (SELECT *, head || text || '<|end|>' || chr(10) AS part FROM heads),
+placed AS (
+  SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY conv_id, speaker, block ORDER BY turn NULLS FIRST, role, text
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM parts)
+SELECT conv_id, speaker, block, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+       string_agg(part, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(part) - 1 AS BIGINT), ',' ORDER BY pos) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, block
+"""
+
+
+@query("op2_perspective_rotation", ROTATION_SQL)
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = rotation.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m.start, m.end))
+    return rendered.withColumn("mask", F.array_join(spans, ","))
+
+
+@query("op3_multi_index_hashing")
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_sparse_suffixes")
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_wrapper_texts")
+def op10_wrapper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
