@@ -8,7 +8,7 @@ ends decides speed alone. Frequencies are counted over the prefixes (half as lon
 
 1. Equal sets are one member, and sets with equal prefix and size are one group; only groups have index rows.
 2. Index rows meet by shingle. Of each list the group in which the shingle stands first is the leader, and a first
-   round pairs the others with their leader. Pairs that verify give provisional components.
+   round pairs each other group with the leader that it meets most often. Pairs that verify give provisional components.
 3. A second round pairs the groups of a list that are in different components. Pairs inside a component need no look:
    they can't change the result. Length and position filters leave out pairs that can't reach the threshold: a pair's
    first common shingle must leave room for the overlap it needs. Group pairs are expanded to their members.
@@ -236,7 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # first round: with the leader
     reps = sets.groupBy("gkey").agg(F.min("digest").alias("rep"))
     starred = lists.filter((F.col("gkey") != F.col("lead")) & _can_reach("n", "place", "lead_n", "lead_place", percent))
-    starred = starred.select("gkey", "lead").distinct()
+    # of its leaders each group takes the one that it meets most often: a pair a group
+    starred = starred.groupBy("gkey", "lead").agg(F.count("*").alias("meetings"))
+    starred = starred.groupBy("gkey").agg(F.max_by("lead", F.struct("meetings", "lead")).alias("lead"))
     a = starred.join(reps.select("gkey", F.col("rep").alias("a")), "gkey").join(reps.select(F.col("gkey").alias("lead"), F.col("rep").alias("b")), "lead")
     within = sets.join(reps, "gkey").filter("digest <> rep").select(F.col("digest").alias("a"), F.col("rep").alias("b"))
     pair = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
