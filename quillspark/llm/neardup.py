@@ -2,9 +2,9 @@
 
 A document's set is that of the 64-bit hashes of its word shingles. In one global order of shingles, two sets of n and m
 members with similarity t or more share a member among their first n - ceil(t n) + 1 and m - ceil(t m) + 1: their
-prefixes. The order used here is by hash, with frequent shingles last; any fixed order is right, so the list of
-frequent ones, broadcast to the workers, is held to `most_frequent` entries by choosing its threshold, and where it
-ends decides speed alone. Frequencies are counted over the prefixes (half as long again) of all documents.
+prefixes. The order used here is by hash, with frequent shingles last, by powers of two of their frequency; any fixed
+order is right, so the list of frequent ones, broadcast to the workers, is held to a number of entries by choosing its
+threshold, and where it ends decides speed alone. Frequencies are counted over the prefixes (half as long again) of all documents.
 
 1. Equal sets are one member, and sets with equal prefix and size are one group; only groups have index rows.
 2. Index rows meet by shingle. Of each list the group in which the shingle stands first is the leader, and a first
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from quillspark.llm.components import components
 from quillspark.llm.textnp import shingle_sets
 
 #: A shingle counts as frequent from this many documents on (more if the list would grow too long).
-FREQUENT = 64
+FREQUENT = 4
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,20 +63,27 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first members in the global order: those that aren't frequent by hash, then the frequent ones by hash."""
+class Frequent(NamedTuple):
+    """Sorted hashes of frequent shingles, and the power of two of each one's frequency."""
+
+    tokens: np.ndarray
+    powers: np.ndarray
+
+    def power(self, some: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.zeros(len(some), np.int8)
+        at = np.minimum(np.searchsorted(self.tokens, some), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == some, self.powers[at], 0)
+
+
+def prefix(members: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
+    """The first members in the global order: by power of two of the frequency (0 if not listed), then by hash."""
     p = prefix_length(len(members), percent)
-    for reach in (min(2 * p, len(members)), len(members)):
-        some = members[:reach]
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, some), len(frequent) - 1)
-            often = frequent[at] == some
-        else:
-            often = np.zeros(len(some), bool)
-        rare = some[~often]
-        if len(rare) >= p:
-            return rare[:p]
-    return np.concatenate([rare, some[often]])[:p]
+    some = members[: min(2 * p, len(members))]
+    rare = some[frequent.power(some) == 0]
+    if len(rare) >= p:
+        return rare[:p]
+    return members[np.argsort(frequent.power(members), kind="stable")][:p]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -97,16 +105,18 @@ def _frequency_rows(width: int, percent: int):
     return rows
 
 
-def frequent_shingles(texts: DataFrame, width: int, percent: int, least: int = FREQUENT, most: int = 500_000) -> np.ndarray:
-    """Sorted hashes of at most `most` shingles in at least `least` prefixes."""
+def frequent_shingles(texts: DataFrame, width: int, percent: int, least: int = FREQUENT, most: int = 2_000_000) -> Frequent:
+    """At most `most` shingles (18 MB) in at least `least` prefixes."""
     counted = texts.mapInArrow(_frequency_rows(width, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = stored(counted.filter(F.col("n") >= least))
+    counted = stored(counted.filter(F.col("n") >= least).withColumn("power", F.floor(F.log2("n")).cast("tinyint")))
     # a histogram by powers of two: at most 64 rows
-    powers = sorted((r[0], r[1]) for r in counted.groupBy(F.floor(F.log2("n")).cast("int")).count().collect())
+    powers = sorted((r[0], r[1]) for r in counted.groupBy("power").count().collect())
     while powers and sum(n for _, n in powers) > most:
-        least = 2 ** (powers.pop(0)[0] + 1)
-    found = counted.filter(F.col("n") >= least).select("token").toArrow().column("token").to_numpy().view(np.uint64)
-    return np.sort(found)
+        powers.pop(0)
+    found = counted.filter(F.col("power") >= (powers[0][0] if powers else 64)).select("token", "power").toArrow()
+    tokens = found.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return Frequent(tokens[order], found.column("power").to_numpy()[order])
 
 
 def _group_key(n: int, first: np.ndarray) -> int:
