@@ -1,0 +1,185 @@
+"""Text functions that need Python, as Arrow-batched UDFs, and their plain forms (used by the stream operators too)."""
+
+from __future__ import annotations
+
+import difflib
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Words that don't count in prose and in code, and how code is recognised.
+PROSE_STOPWORDS = frozenset(
+    "a an the is are was were be been being have has had do does did will would could should may might shall can i you "
+    "he she it we they this that these those of in on at to for with by from as into about and or but not so yet nor "
+    "both either neither just also only even all any each few more most other some such no same than too very s t don "
+    "doesn didn isn aren wasn weren won wouldn".split()
+)
+CODE_STOPWORDS = frozenset(
+    "def class return import from as if elif else for while with try except finally raise pass break continue lambda "
+    "yield async await and or not in is del global nonlocal assert function var let const export default new typeof "
+    "instanceof void switch case this super extends implements interface enum abstract public private protected readonly "
+    "static select where join inner outer left right on group by order having insert into values update set delete "
+    "create table drop alter index view distinct count sum avg min max between like exists union all".split()
+)
+CODE_LINE = re.compile(r"^\s*(?:def|class|import|from|function|const|let|var|select|insert|update) ", re.I | re.M)
+SENTENCE_BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+
+
+def shingle_set(unit: str, k: int = 5) -> set[str]:
+    t = " ".join(unit.lower().split())
+    return {t[i : i + k] for i in range(len(t) - k + 1)}
+
+
+def units_of(text: str, unit: str) -> list[str]:
+    if unit == "paragraph":
+        return re.split(r"\n{2,}", text)
+    out = []
+    for i, part in enumerate(re.split(r"(\n+)", text)):
+        out += [part] if i % 2 else SENTENCE_BREAK.split(part)
+    return out
+
+
+def leader_fold(text: str, kept: list[set[str]], threshold: float = 0.85, unit: str = "sentence", language: str = "auto", least_words: int = 5) -> str:
+    """Units in order: one that is like a kept unit goes; the others stay and, if long enough, are kept in `kept`."""
+    code = language == "code" or (language == "auto" and CODE_LINE.search(text) is not None)
+    stop = PROSE_STOPWORDS | CODE_STOPWORDS if code else PROSE_STOPWORDS
+    stay = []
+    for u in units_of(text, unit):
+        if u.strip():
+            content = [w for w in re.findall(r"\b\w+\b", u.lower()) if w not in stop]
+            if len(content) >= least_words:
+                own = shingle_set(u)
+                if any(len(own & k) >= threshold * len(own | k) for k in kept if min(len(own), len(k)) >= threshold * max(len(own), len(k))):
+                    continue
+                kept.append(own)
+        stay.append(u)
+    if unit == "paragraph":
+        return "\n\n".join(u for u in stay if u.strip())
+    out = ""
+    for u in stay:
+        if u:
+            out += ("" if not out or out.endswith("\n") or u.startswith("\n") else " ") + u
+    return out.strip()
+
+
+def semantic_dedup(text: Column, threshold: float = 0.85, unit: str = "sentence", language: str = "auto") -> Column:
+    """Near-duplicate sentences (or paragraphs) of a text go; exact similarity of character 5-grams."""
+
+    @F.pandas_udf(StringType())
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: leader_fold(t or "", [], threshold, unit, language))
+
+    return fold(text)
+
+
+def compact_json(text: str) -> str | None:
+    if not text.startswith(("{", "[")):
+        return None
+    try:
+        return json.dumps(json.loads(text), separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
+
+
+def compact_paragraphs(text: str) -> str:
+    parts = re.split(r"(\n{2,})", text)
+    return "".join(p if i % 2 else compact_json(p.strip()) or p for i, p in enumerate(parts))
+
+
+@F.pandas_udf(StringType())
+def minify_json(s: pd.Series) -> pd.Series:
+    """The whole text, if it is JSON, without spaces; null if it isn't."""
+    return s.map(lambda t: compact_json((t or "").strip()))
+
+
+@F.pandas_udf(StringType())
+def minify_paragraphs(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: compact_paragraphs(t or ""))
+
+
+def numeric_entities_of(text: str) -> str:
+    return re.sub(r"&#(\d+);", lambda m: chr(int(m[1])), text)
+
+
+@F.pandas_udf(StringType())
+def numeric_entities(s: pd.Series) -> pd.Series:
+    def decode(t: str) -> str | None:
+        try:
+            return numeric_entities_of(t)
+        except (ValueError, OverflowError):
+            return None  # the caller keeps the text as it was before the whole step
+
+    return s.map(decode)
+
+
+@F.pandas_udf(StringType())
+def unified_diff(old: pd.Series, new: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series(
+        [None if a is None else "\n".join(difflib.unified_diff(a.splitlines(), (b or "").splitlines(), f"a/{n}", f"b/{n}", lineterm="")) for a, b, n in zip(old, new, name, strict=True)]
+    )
+
+
+@F.pandas_udf(StringType())
+def short_tracebacks(s: pd.Series) -> pd.Series:
+    """Of tracebacks with more than six frames the first and last three stay."""
+    return s.map(lambda t: shorten_tracebacks(t or ""))
+
+
+def shorten_tracebacks(text: str, ends: int = 3) -> str:
+    rows, out, i = text.splitlines(), [], 0
+    while i < len(rows):
+        out.append(rows[i])
+        i += 1
+        if "Traceback (most recent call last)" not in out[-1]:
+            continue
+        frames: list[str] = []
+        closing = None
+        while i < len(rows) and "Traceback (most recent call last)" not in rows[i]:
+            if rows[i].startswith("  File ") and i + 1 < len(rows):
+                frames.append(f"{rows[i]}\n{rows[i + 1]}")
+                i += 2
+                continue
+            i += 1
+            if frames and not rows[i - 1].startswith(" "):
+                closing = rows[i - 1]
+                break
+        if len(frames) > 2 * ends:
+            frames[ends:-ends] = [f"  ... ({len(frames) - 2 * ends} frames omitted) ..."]
+        out += frames + ([closing] if closing else [])
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def eslint_report(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: summarize_eslint(t or ""))
+
+
+def summarize_eslint(text: str) -> str | None:
+    """Errors, and each warning rule once; null if the text isn't such a report or nothing is left."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return None
+    if not isinstance(data, list):
+        return None
+    shown: dict[str, None] = {}
+    counts, out = {1: 0, 2: 0}, []
+    for report in data:
+        rows = []
+        for m in report.get("messages", []):
+            level, rule = m.get("severity", 0), m.get("ruleId") or "unknown"
+            if level not in counts:
+                continue
+            counts[level] += 1
+            if level == 1:
+                if rule in shown:
+                    continue
+                shown[rule] = None
+            rows.append(f"  {m.get('line', 0)}:{m.get('column', 0)} {'error ' if level == 2 else 'warn  '} {m.get('message', '')} ({rule})")
+        if rows:
+            out += [f"{report.get('filePath', '').replace(chr(92), '/').split('/')[-1]}:", *rows]
+    return "\n".join([*out, f"[ESLint: {counts[2]} errors, {counts[1]} warnings ({len(shown)} unique warning rules shown)]"]) if out else None
