@@ -90,6 +90,11 @@ def compact_paragraphs(text: str) -> str:
     return "".join(p if i % 2 else compact_json(p.strip()) or p for i, p in enumerate(parts))
 
 
+@F.pandas_udf(StringType())
+def unchanged(s: pd.Series) -> pd.Series:
+    return s
+
+
 @F.pandas_udf(StringType())
 def minify_json(s: pd.Series) -> pd.Series:
     """The whole text, if it is JSON, without spaces; null if it isn't."""

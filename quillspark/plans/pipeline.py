@@ -110,10 +110,11 @@ def compress_documents(docs: DataFrame, config: Config = Config(), text_col: str
     return build(config).run(docs, text_col)
 
 
-def stage_table(compressed: DataFrame) -> DataFrame:
-    """Tokens saved by stage over all documents."""
-    rows = compressed.select(F.posexplode("stages").alias("place", "stage"))
-    sums = rows.groupBy("place", "stage.name").agg(F.sum("stage.tokens_before").alias("tokens_before"), F.sum("stage.tokens_after").alias("tokens_after"))
+def stage_table(compressed: DataFrame, names: tuple[str, ...] = TECHNIQUES) -> DataFrame:
+    """Tokens before and after each stage over all documents: sums by place in the array, one row of them, then rows."""
+    total = lambda i, c: F.sum(F.get("stages", F.lit(i))[c])
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), total(i, "tokens_before").alias("tokens_before"), total(i, "tokens_after").alias("tokens_after")) for i, n in enumerate(names)]
+    sums = compressed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     return sums.withColumn("saved", F.col("tokens_before") - F.col("tokens_after"))
 
 
@@ -156,6 +157,8 @@ def compress_tool_events(events: DataFrame, fill_col: str = "fill") -> DataFrame
     out = events.withColumn("profile", tool_profile(F.col("tool_name"), F.col(fill_col)))
     first = F.when(F.col("tool_name") == "Bash", filter_output(F.col("command"), F.col("output"))).when(F.col("tool_name") == "Grep", grep_output(text_of(F.col("output")))).otherwise(text_of(F.col("output")))
     out = out.withColumn("__t", first).withColumn("__t", truncate_code_blocks(F.col("__t"), F.col("profile.max_code_block_lines")))
+    # an Arrow step is evaluated once, so the optimiser doesn't write the filters out wherever their result is used
+    out = out.withColumn("__t", arrow.unchanged(F.col("__t")))
     enough = token_count(F.col("__t")) >= F.col("profile.min_tokens")
     out = out.withColumn("__u", F.col("__t"))
     for stage in build().stages:

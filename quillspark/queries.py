@@ -350,12 +350,6 @@ def f0_filter_dispatch(spark, sf):
     return _log(spark, sf, _line(*_INSTALL)).select("user_id", logs.kind_of(command, F.col("output")).alias("kind"))
 
 
-@query("f12_tool_events")
-def f12_tool_events(spark, sf):
-    made = _log(spark, sf, _line(*_INSTALL)).select("user_id", F.lit("Bash").alias("tool_name"), F.lit("npm install").alias("command"), "output", (F.col("user_id") % 10 / 10.0).alias("fill"))
-    return pipeline.compress_tool_events(made).select("user_id", "shown")
-
-
 @query("f13_profiles", """
 SELECT user_id, CASE WHEN f < 0.4 THEN 150 WHEN f < 0.7 THEN 75 ELSE 50 END AS min_tokens, CASE WHEN f < 0.7 THEN 60 ELSE 40 END AS longest
 FROM (SELECT DISTINCT user_id, (user_id % 10) / 10.0::DOUBLE AS f FROM events)""")
@@ -393,8 +387,3 @@ def p2_lossless_only(spark, sf):
     from dataclasses import replace
 
     return replace(pipeline.build(), skip_lossy=True).run(messy(spark, sf)).drop("text", "source", "stages")
-
-
-@query("m4_stage_table")
-def m4_stage_table(spark, sf):
-    return pipeline.stage_table(pipeline.compress_documents(messy(spark, sf)))
