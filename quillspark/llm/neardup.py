@@ -123,16 +123,29 @@ def _group_key(n: int, first: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
 
 
+#: Bits of the parity sketch of a set.
+SKETCH_BITS = 1024
+
+
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """Whether an odd number of members falls into each of SKETCH_BITS buckets. Two sketches differ in no more bits
+    than the sets have members that only one of them holds."""
+    odd = np.bincount((members & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _document_rows(width: int, percent: int, frequent):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, group = [], [], []
+            n, digest, group, sketch = [], [], [], []
             for _, members in _sets(batch, width):
                 n.append(len(members))
                 digest.append(_digest(members) if len(members) else None)
                 group.append(_group_key(len(members), prefix(members, frequent.value, percent)) if len(members) else None)
+                sketch.append(parity_sketch(members))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.int64())], names=["doc_id", "n", "digest", "gkey"]
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "digest", "gkey", "sketch"],
             )
 
     return rows
@@ -224,6 +237,13 @@ def _can_reach(n: str, i: str, m: str, j: str, percent: int):
     return sizes & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
+def _few_apart(n: str, s: str, m: str, t: str, percent: int):
+    """Whether the sketches leave it possible that sets of n and m reach the threshold: they may have at most
+    (n + m) (1 - t) / (1 + t) members apart."""
+    apart = sum((F.bit_count(F.get(s, F.lit(i)).bitwiseXOR(F.get(t, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, digest (of its set; null without words)."""
     spark = docs.sparkSession
@@ -231,8 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = source.select("text")
     kind = source.schema["doc_id"].dataType.simpleString()
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, width, percent))
-    known = stored(source.mapInArrow(_document_rows(width, percent, frequent), f"doc_id {kind}, n long, digest binary, gkey long"))
-    sets = stored(known.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("gkey").alias("gkey")))
+    known = stored(source.mapInArrow(_document_rows(width, percent, frequent), f"doc_id {kind}, n long, digest binary, gkey long, sketch array<long>"))
+    sets = stored(known.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("gkey").alias("gkey"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
     rows = texts.mapInArrow(_index_rows(width, percent, frequent), "token long, gkey long, n int, place int")
     # groups in several tasks have the same rows in each; the sort of the window puts them side by side
     order = Window.partitionBy("token").orderBy("place", "n", "gkey")
@@ -257,20 +277,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # second round: between components
     found = components(links).select(F.col("node").alias("digest"), "root")
-    placed = stored(sets.join(found, "digest", "left").select("digest", "gkey", F.coalesce("root", "digest").alias("comp")))
+    placed = stored(sets.join(found, "digest", "left").select("digest", "gkey", F.coalesce("root", "digest").alias("comp"), F.col("n").alias("size"), "sketch"))
     comps = placed.select("gkey", "comp").distinct()
     by_comp = lists.select("token", "gkey", "n", "place").join(comps, "gkey")
     lead_comp = F.first("comp").over(Window.partitionBy("token").orderBy("place", "n", "gkey", "comp").rowsBetween(Window.unboundedPreceding, 0))
     by_comp = stored(by_comp.withColumn("lead_comp", lead_comp))
-    minor = by_comp.filter("comp <> lead_comp").select("token", "gkey", "n", "place", "comp")
-    other = by_comp.select("token", F.col("gkey").alias("gkey2"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("lead_comp")).alias("major"))
-    apart = (F.col("comp") != F.col("comp2")) & (F.col("major") | (F.col("gkey") <= F.col("gkey2")))
-    met = minor.join(other, (minor["token"] == other["token"]) & apart & _can_reach("n", "place", "m", "place2", percent))
-    met = met.select("gkey", "gkey2").distinct()
-    one = placed.select("gkey", F.col("digest").alias("a"), F.col("comp").alias("comp_a"))
-    two = placed.select(F.col("gkey").alias("gkey2"), F.col("digest").alias("b"), F.col("comp").alias("comp_b"))
-    expanded = met.join(one, "gkey").join(two, "gkey2").filter("comp_a <> comp_b").select("a", "b")
-    inside = one.join(two, (F.col("gkey") == F.col("gkey2")) & (F.col("comp_a") < F.col("comp_b"))).select("a", "b")
+    # only lists with several components go on; their groups are expanded to members, with the members' sketches
+    mixed = by_comp.filter("comp <> lead_comp").select("token").distinct()
+    by_comp = stored(by_comp.join(mixed, "token", "left_semi").join(placed.select("gkey", "comp", "digest", "sketch"), ["gkey", "comp"]))
+    minor = by_comp.filter("comp <> lead_comp").select("token", F.col("digest").alias("a"), "n", "place", "comp", "sketch")
+    other = by_comp.select("token", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("lead_comp")).alias("major"), F.col("sketch").alias("sketch2"))
+    apart = (F.col("comp") != F.col("comp2")) & (F.col("major") | (F.col("a") < F.col("b")))
+    fits = _can_reach("n", "place", "m", "place2", percent) & _few_apart("n", "sketch", "m", "sketch2", percent)
+    met = minor.join(other, (minor["token"] == other["token"]) & apart & fits).select("a", "b").distinct()
+    two = placed.select(F.col("gkey").alias("gkey2"), F.col("digest").alias("b"), F.col("comp").alias("comp2"), F.col("size").alias("m"), F.col("sketch").alias("sketch2"))
+    alike = (F.col("gkey") == F.col("gkey2")) & (F.col("comp") < F.col("comp2")) & _few_apart("size", "sketch", "m", "sketch2", percent)
+    inside = placed.join(two, alike).select(F.col("digest").alias("a"), "b")
+    expanded = met.union(inside)
     second_pairs = stored(pair(expanded.union(inside)).join(first_pairs, ["a", "b"], "left_anti"))
     if second_pairs.limit(1).count():
         links = stored(links.union(verified(texts, second_pairs, width, percent)))
