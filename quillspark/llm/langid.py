@@ -15,8 +15,6 @@ rows that repeat are predicted alike; ties go to the label that sorts first; wit
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,7 +188,7 @@ def padded(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Reader:
     """Document probabilities by a trained network, remembering the words met so far."""
 
-    def __init__(self, net: BiGRU, keep: int = 1_000_000):
+    def __init__(self, net: BiGRU, keep: int = 300_000):
         self.net, self.keep = net, keep
         self._forget()
 
@@ -274,36 +272,13 @@ def train(labelled: DataFrame, hidden: int = 16, epochs: int = 4, **sample) -> B
     return net
 
 
-@functools.lru_cache(maxsize=1)
-def _reader(key: str, make) -> Reader:
-    return make()
-
-
-class _Make:
-    """Builds a reader once in a Python worker; equal by the model's key."""
-
-    def __init__(self, key: str, net: BiGRU):
-        self.key, self.net = key, net
-
-    def __call__(self) -> Reader:
-        return Reader(self.net)
-
-    def __eq__(self, other) -> bool:
-        return self.key == other.key
-
-    def __hash__(self) -> int:
-        return hash(self.key)
-
-
 def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; own columns of those names give way."""
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    key = uuid.uuid4().hex
-    make = _Make(key, net) if net else None
     schema = docs.select(*own).schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(key, make) if make else None
+        reader = Reader(net) if net else None  # its memory ends with the task
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             spoken = batch.column("__spoken").to_pylist()

@@ -55,7 +55,7 @@ class Encoder:
     #: The fixed split pattern of this family of vocabularies.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import tiktoken
         from tokenizers import Tokenizer
 
