@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import small_or_shuffled, stored
 from quillspark.llm.textnp import _CODE, _LOWER, _SPACE, hash_spans, lay_out, spans
 
 #: Longest stretch of bytes that the network reads at once.
 LONGEST = 24
 UND = "und"
+#: Rows of an Arrow batch that are answered at a time, so that few texts are held twice.
+ROWS_AT_ONCE = 256
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -240,11 +243,14 @@ class Reader:
 
 def training_words(labelled: DataFrame, docs_per_label: int = 250, words_per_doc: int = 48, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang"):
     """The bounded sample: word bytes, lengths, label numbers and the labels."""
-    place = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = Window.partitionBy("label").orderBy("place", "id")
+    place = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    chosen = Window.partitionBy("label").orderBy("place")
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(label_col).cast("string").alias("label"), place.alias("place"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(chosen)).filter(F.col("n") <= docs_per_label).select("label", "place", "text")
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), place.alias("place"), F.col(text_col).alias("text"))
+    # the texts take no part in finding the smallest places, so nothing long is sorted; they are looked up afterwards
+    places = rows.select("label", "place").withColumn("n", F.row_number().over(chosen)).filter(F.col("n") <= docs_per_label)
+    places = small_or_shuffled(stored(places.select("label", "place").distinct()))
+    rows = rows.join(places, ["label", "place"], "left_semi").dropDuplicates(["label", "place"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,20 +286,26 @@ def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text") -> DataF
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(net) if net else None  # its memory ends with the task
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            spoken = batch.column("__spoken").to_pylist()
-            tags, scores = [UND] * len(texts), [0.0] * len(texts)
-            at = [i for i, x in enumerate(spoken) if x] if reader else []
-            if at:
-                p = reader([texts[i].encode() for i in at])
-                best = p.argmax(1)
-                for i, k, s in zip(at, best.tolist(), p.max(1).tolist(), strict=True):
-                    tags[i], scores[i] = reader.net.labels[k], min(1.0, round(s, 6))
-            kept = [batch.column(i) for i in range(len(own))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
-
-    spoken = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    taken = docs.select(*own, F.col(text_col).alias("__text"), spoken.alias("__spoken"))
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):  # slices share the batch's memory
+                yield answered(reader, batch.slice(start, ROWS_AT_ONCE))
+
+    def answered(reader: Reader | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spoken = (batch.column(i).to_pylist() for i in (text_at, len(batch.columns) - 1))
+        tags, scores = [UND] * len(texts), [0.0] * len(texts)
+        at = [i for i, x in enumerate(spoken) if x] if reader else []
+        if at:
+            p = reader([texts[i].encode() for i in at])
+            best = p.argmax(1)
+            for i, k, s in zip(at, best.tolist(), p.max(1).tolist(), strict=True):
+                tags[i], scores[i] = reader.net.labels[k], min(1.0, round(s, 6))
+        kept = [batch.column(i) for i in range(len(own))]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
+
+    spoken = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__spoken")
+    # the text goes to Python once: as a column of its own only where it isn't among those returned
+    named = [i for i, c in enumerate(own) if c.lower() == text_col.lower()]
+    text_at = named[0] if named else len(own)
+    taken = docs.select(*own, *([] if named else [F.col(text_col).alias("__text")]), spoken)
     out = schema.add("lang_pred", "string").add("score", "double")
     return taken.mapInArrow(rows, out)
 
