@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import small_or_shuffled, stored
-from quillspark.llm.textnp import _CODE, _LOWER, _SPACE, hash_spans, lay_out, spans
+from quillspark.llm.textnp import _CODE, _LOWER, _SPACE, hash_spans, lay_out, spans, tidy
 
 #: Longest stretch of bytes that the network reads at once.
 LONGEST = 24
@@ -262,7 +262,7 @@ def training_words(labelled: DataFrame, docs_per_label: int = 250, words_per_doc
                     words.append(buf[begin[k] : end[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(words, pa.binary())], names=["label", "word"])
 
-    found = rows.mapInArrow(pick, "label string, word binary").toArrow().sort_by([("label", "ascending"), ("word", "ascending")])
+    found = rows.mapInArrow(tidy(pick), "label string, word binary").toArrow().sort_by([("label", "ascending"), ("word", "ascending")])
     labels = sorted(set(found.column("label").to_pylist()))
     number = {x: i for i, x in enumerate(labels)}
     buf, begin, end, _ = stretches(found.column("word").to_pylist())
@@ -307,7 +307,7 @@ def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text") -> DataF
     text_at = named[0] if named else len(own)
     taken = docs.select(*own, *([] if named else [F.col(text_col).alias("__text")]), spoken)
     out = schema.add("lang_pred", "string").add("score", "double")
-    return taken.mapInArrow(rows, out)
+    return taken.mapInArrow(tidy(rows), out)
 
 
 def held_out(doc_id):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
 from quillspark.llm.components import components
-from quillspark.llm.textnp import shingle_sets
+from quillspark.llm.textnp import shingle_sets, tidy
 
 #: A shingle counts as frequent from this many documents on (more if the list would grow too long).
 FREQUENT = 4
@@ -102,7 +102,7 @@ def _frequency_rows(width: int, percent: int):
                 token, n = np.unique(np.concatenate(some), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(token), pa.array(n, pa.int64())], names=["token", "n"])
 
-    return rows
+    return tidy(rows)
 
 
 def frequent_shingles(texts: DataFrame, width: int, percent: int, least: int = FREQUENT, most: int = 2_000_000) -> Frequent:
@@ -148,7 +148,7 @@ def _document_rows(width: int, percent: int, frequent):
                 names=["doc_id", "n", "digest", "gkey", "sketch"],
             )
 
-    return rows
+    return tidy(rows)
 
 
 def _index_rows(width: int, percent: int, frequent):
@@ -173,7 +173,7 @@ def _index_rows(width: int, percent: int, frequent):
                     names=["token", "gkey", "n", "place"],
                 )
 
-    return rows
+    return tidy(rows)
 
 
 def _set_rows(width: int, bits, log2: int):
@@ -194,7 +194,7 @@ def _set_rows(width: int, bits, log2: int):
             if found:
                 yield _packed(found)
 
-    return rows
+    return tidy(rows)
 
 
 def _packed(found: dict[bytes, np.ndarray]) -> pa.RecordBatch:

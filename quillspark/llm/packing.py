@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable
-from quillspark.llm.textnp import mix
+from quillspark.llm.textnp import mix, tidy
 
 #: Slices into which the pieces of one length are dealt to be numbered.
 SLICES = 256
@@ -219,7 +219,7 @@ def _piece_rows(path: str, capacity: int, end_id: int):
             out = [batch.column("doc_id").take(pa.array(at, pa.int32())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows
+    return tidy(rows)
 
 
 def fill_window(counts: list[int], capacity: int) -> dict[int, int]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable, stored
+from quillspark.llm.textnp import tidy
 
 _GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "little") for i in range(256)], np.uint32)
 
@@ -72,7 +73,7 @@ def _recipe_rows(size: int):
                 [batch.column("doc_id"), pa.array(recipes, pa.binary()), pa.array(shas, pa.string())], names=["doc_id", "recipe", "text_sha256"]
             )
 
-    return rows
+    return tidy(rows)
 
 
 def _chunk_rows(size: int):
@@ -84,7 +85,7 @@ def _chunk_rows(size: int):
             for i in range(0, len(found), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(digests[i : i + 2000], pa.binary()), pa.array(found[i : i + 2000], pa.binary())], names=["digest", "chunk"])
 
-    return rows
+    return tidy(rows)
 
 
 def unverified(docs: DataFrame, size: int) -> DataFrame:

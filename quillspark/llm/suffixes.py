@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
-from quillspark.llm.textnp import mix, words
+from quillspark.llm.textnp import mix, tidy, words
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,7 +83,7 @@ def _anchor_rows(k: int, min_words: int):
                 anchor, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
 
-    return rows
+    return tidy(rows)
 
 
 def _context_rows(k: int, min_words: int, bits, log2: int):
@@ -117,7 +117,7 @@ def _context_rows(k: int, min_words: int, bits, log2: int):
                     names=["anchor", "doc_id", "place", "left", "right"],
                 )
 
-    return rows
+    return tidy(rows)
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -167,7 +167,7 @@ def _match_rows(min_words: int):
             ids, starts, ends, firsts = zip(*dict.fromkeys(out), strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(firsts, pa.bool_())], names=["doc_id", "start", "end", "first"])
 
-    return rows
+    return tidy(rows)
 
 
 def _bit_map(anchors: DataFrame) -> tuple[bytes, int]:
