@@ -35,12 +35,14 @@ from quillspark.llm.common import small_or_shuffled, stored
 
 #: Elements without an end tag, elements whose content isn't markup, and elements within a line (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation".split())
 #: Elements that never hold main text, and words in class or id that say so (fixed values).
-OUTSIDE = frozenset("head nav footer aside form script style noscript template iframe textarea title select option button svg math dialog object embed audio video canvas menu map xmp noembed noframes".split())
+OUTSIDE = frozenset("head nav footer aside form script style noscript template iframe textarea title select option button svg embed audio video canvas menu map noembed noframes".split())
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidebars side menu menus nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login footer header masthead widget widgets toolbar pagination pager skip hidden".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Elements whose id and class hint nothing.
+UNHINTED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -66,34 +68,60 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "open", name, m[3]
         if name in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if name == "xmp":  # shown as it is written
+                yield "text", "", page[at : end.start() if end else len(page)].replace("&", "&amp;")
             at = end.end() if end else len(page)
             yield "close", name, ""
     if at < len(page):
         yield "text", "", page[at:]
 
 
-def element(name: str, rest: str) -> tuple[str, bool]:
-    """The element's key (name, id and class) and whether it is outside any main text."""
+def element(name: str, rest: str) -> tuple[str, bool, bool]:
+    """The element's key (name, id and class), whether it is outside any main text, and whether its id or class only
+    hints so."""
     attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
     marks = [attributes.get("id", ""), attributes.get("class", "")]
-    said = {w for x in marks for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", x).lower())}
+    said = {w for x in marks if x for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", x).lower())}
     out = name in OUTSIDE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
-    out = out or (bool(said & HINTS) and name not in ("html", "body", "article", "main"))
-    return name + "".join(f"#{x}" if i == 0 else f".{x}" for i, x in enumerate(marks) if x), out
+    hint = not out and bool(said & HINTS) and name not in UNHINTED
+    return name + "".join(f"#{x}" if i == 0 else f".{x}" for i, x in enumerate(marks) if x), out, hint
+
+
+class Hinted:
+    """An element that its id or class hints to be outside, and what it holds."""
+
+    __slots__ = ("within", "main", "chars")
+
+    def __init__(self, within: bool):
+        self.within, self.main, self.chars = within, False, 0
 
 
 class Text:
     """A block's text with the path of elements around it."""
 
-    __slots__ = ("path", "outside", "text")
+    __slots__ = ("path", "outside", "text", "hints", "marked")
 
-    def __init__(self, path: tuple[str, ...], outside: bool, text: str):
-        self.path, self.outside, self.text = path, outside, text
+    def __init__(self, path: tuple[str, ...], outside: bool, text: str, hints: tuple[Hinted, ...] = (), marked: bool = False):
+        self.path, self.outside, self.text, self.hints, self.marked = path, outside, text, hints, marked
+
+
+def _weigh_hints(blocks: list[Text]) -> None:
+    """A hint counts unless its element holds an article, a main or an h1 element or, where no article or main element
+    has text beside it, most of the page's text."""
+    total = 0
+    for b in blocks:
+        if not b.outside:
+            total += len(b.text)
+            for h in b.hints:
+                h.chars += len(b.text)
+    marked = any(b.marked and not b.outside and not b.hints for b in blocks)
+    for b in blocks:
+        b.outside = b.outside or any(not h.main and (marked or 2 * h.chars <= total) for h in b.hints)
 
 
 def read(page: str) -> tuple[list[str], list[Text]]:
     """The page's token stream and its blocks of text, by a stack of open elements."""
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, Hinted | None]] = []
     stream: list[str] = []
     blocks: list[Text] = []
     parts: list[str] = []
@@ -102,13 +130,14 @@ def read(page: str) -> tuple[list[str], list[Text]]:
         text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            blocks.append(Text(tuple(k for n, k, _ in stack if n not in INLINE), any(o for _, _, o in stack), text))
+            hints = tuple(e[3] for e in stack if e[3] is not None)
+            blocks.append(Text(tuple(e[1] for e in stack if e[0] not in INLINE), any(e[2] for e in stack), text, hints, any(e[0] in ("article", "main") for e in stack)))
             stream.append("#")
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            name, key, out = stack[-1]
-            if name not in INLINE or out:
+            name, key, out, hint = stack[-1]
+            if name not in INLINE or out or hint:
                 flush()
             stack.pop()
             stream.append(f"/{key}")
@@ -123,10 +152,11 @@ def read(page: str) -> tuple[list[str], list[Text]]:
             elif name not in INLINE:
                 flush()
         else:
-            key, out = element(name, rest)
-            if name == "header" and not any(n in ("article", "main") for n, _, _ in stack):
+            key, out, hinted = element(name, rest)
+            within = any(e[0] in ("article", "main") for e in stack)
+            if name == "header" and not within:
                 out = True
-            if name not in INLINE or out:
+            if name not in INLINE or out or hinted:
                 flush()
             if name in _CLOSES_P and (at := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
                 pop(at)
@@ -137,13 +167,18 @@ def read(page: str) -> tuple[list[str], list[Text]]:
                     if stack[i][0] in _LIKE[name]:
                         pop(i)
                         break
+            if name in ("article", "main", "h1"):
+                for e in stack:  # an article in a hinted element of an article may be a comment
+                    if e[3] is not None and (name == "h1" or not e[3].within):
+                        e[3].main = True
             stream.append(key)
             if name in VOID:
                 parts.append(" " if name == "br" else "")
             elif not rest.rstrip().endswith("/") or name not in ("svg", "math"):
-                stack.append((name, key, out))
+                stack.append((name, key, out, Hinted(within) if hinted else None))
     pop(0)
     flush()
+    _weigh_hints(blocks)
     return stream, blocks
 
 

@@ -224,6 +224,16 @@ def test_extraction(spark):
     assert wrappers.main_texts(d.filter("page_id < 0")).count() == 0
 
 
+def test_hints_never_drop_the_page():
+    text = "Long enough a text to be most of what this page says to its readers."
+    said = lambda page: wrappers.extract(page, ())
+    for name in ("page has-sidebar", "no-comments", "header-fixed"):
+        assert said(f'<body><div class="{name}"><div class="sidebar">s</div><article><p>{text}</article></div></body>') == text
+        assert said(f'<body><div class="{name}"><div class="sidebar">s</div><p>{text}</div></body>') == text
+    page = f'<body><article><div class="post-header"><h1>T</h1></div><p>{text}<h2 id="related-work">W</h2><p>a <math><mi>x</mi></math> b<object>o</object><xmp>&lt;<i></xmp><dialog>d</dialog><div class="comments"><article>{text}{text}</article></div></article></body>'
+    assert said(page) == f"T\n{text}\nW\na x b\no\n&lt;<i>\nd"
+
+
 def test_wrapper_expression():
     assert wrappers.expression(wrappers.align(wrappers.fold(["ul", "li", "#", "/li", "li", "#", "/li", "/ul"]), ["ul", "/ul"])) == "ul ( ( li # /li )+ )? /ul"
 
