@@ -1,16 +1,16 @@
 """HTML extraction by inferring wrappers: union-free regular expressions over the token streams of a host's pages.
 
-For each host a bounded sample of pages (`pages_per_host`, chosen by a hash) is read as token streams: tags (with id and
-class) and text slots. Within a stream, stretches that repeat side by side become repeated groups `( )+`. The wrapper
-begins as the first page's stream and is aligned with each other page in turn; mismatching tags are resolved into
-optional groups `( )?`, mismatching texts into slots (#), equal texts stay constants. On the wrapper the main container
-is chosen: the deepest element in which nearly all the text of slots stands that no notice, menu, advert, form or
-comment element holds. The wrapper then reads every page of its host: the container's texts in page order, block by
-block. Pages in which the wrapper's container is missing are read with the container that the page itself suggests by
-the same rule, its own stream being the only sample.
-
-The sample of a host meets in one task and is bounded; pages are joined with the table of wrappers, which is broadcast
-behind a check of its counted rows, else shuffled with hot hosts split by Spark.
+A wrapper is inferred for each template of a host, from all its pages. Pages are of one template if their texts outside
+notices, menus, adverts, forms and comments stand in the same upper containers. A wrapper's positions are the paths of
+elements (tags with id and class, numbers in them left out), so that stretches that repeat side by side fall together
+and what a page lacks is optional. At each position a text that nine in ten of the template's pages repeat is a
+constant, anything else fills a slot. The main container is the deepest element in which nearly all the slots' text
+stands. These statistics are sums, combined before the shuffle. Then each page is matched with its template's wrapper:
+the texts in the main container are taken in page order, block by block.
+
+A page is read by itself where the wrapper doesn't fit: if most of its text is constants (copies of one page), they
+count as slots, and if the container holds less than half of its slots' text, the container is the one that the page
+itself suggests by the same rule. A page alone in its template is read so too.
 
 Defined results: null html counts as empty and gives an empty text; pages without a url or host share one wrapper; rows
 that repeat are extracted alike; an empty table gives an empty result; other columns take no part. An unclosed element
@@ -20,15 +20,16 @@ ends with its parent; character references are decoded once, with or without the
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import small_or_shuffled, stored
@@ -84,6 +85,7 @@ def element(name: str, rest: str) -> tuple[str, bool, bool]:
     said = {w for x in marks if x for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", x).lower())}
     out = name in OUTSIDE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
     hint = not out and bool(said & HINTS) and name not in UNHINTED
+    marks = [re.sub(r"[0-9]{2,}", "0", x) for x in marks]
     return name + "".join(f"#{x}" if i == 0 else f".{x}" for i, x in enumerate(marks) if x), out, hint
 
 
@@ -182,7 +184,8 @@ def read(page: str) -> tuple[list[str], list[Text]]:
     return stream, blocks
 
 
-# Wrappers: lists of tags, '#' and groups ('+', nodes) or ('?', nodes).
+# Union-free expressions of single streams: lists of tags, '#' and groups ('+', nodes) or ('?', nodes). They show a
+# template to a reader; the wrappers below, over all pages, are what rows come from.
 
 
 def fold(stream: list, longest: int = 16) -> list:
@@ -228,81 +231,150 @@ def expression(wrapper) -> str:
     return " ".join(x if isinstance(x, str) else f"( {expression(x[1])} ){x[0]}" for x in wrapper)
 
 
-def main_container(pages: list[list[Text]], share: float = 0.9) -> tuple[str, ...]:
-    """The deepest path that holds at least `share` of the slots' text: texts in no outside element, and, with several
-    pages, not the same on all."""
-    constants: set[tuple] = set()
-    if len(pages) > 2:
-        seen = Counter(x for blocks in pages for x in {(b.path, b.text) for b in blocks})
-        constants = {x for x, n in seen.items() if n == len(pages)}
-    volume: Counter[tuple[str, ...]] = Counter()
+#: Elements that can be a main container.
+CONTAINERS = frozenset("html body article main section div td".split())
+Path = tuple[str, ...]
+
+
+def _tag(key: str) -> str:
+    return re.split(r"[.#]", key)[0]
+
+
+def main_container(volumes: Iterable[tuple[Path, int]], share: float = 0.9) -> Path:
+    """The deepest path that holds at least `share` of the text, or an article or main element with half of it.
+    volumes: paths of blocks with their characters."""
+    volume: Counter[Path] = Counter()
     total = 0
-    for varied in (True, False):
-        for blocks in pages:
-            for b in blocks:
-                if not b.outside and not (varied and (b.path, b.text) in constants):
-                    total += len(b.text)
-                    for k in range(1, len(b.path) + 1):
-                        if re.split(r"[.#]", b.path[k - 1])[0] in ("body", "article", "main", "section", "div", "td", "html"):
-                            volume[b.path[:k]] += len(b.text)
-        if total:
-            break
-    marked = [p for p, n in volume.items() if n >= 0.5 * total and re.split(r"[.#]", p[-1])[0] in ("article", "main")]
+    for path, chars in volumes:
+        total += chars
+        for k in range(1, len(path) + 1):
+            if _tag(path[k - 1]) in CONTAINERS:
+                volume[path[:k]] += chars
+    marked = [p for p, n in volume.items() if n >= 0.5 * total and _tag(p[-1]) in ("article", "main")]
     held = marked or [p for p, n in volume.items() if n >= share * total]
     return max(held, key=lambda p: (len(p), volume[p], p), default=())
 
 
-def infer(pages: list[str], longest: int = 4000) -> dict:
-    """A wrapper for pages of one host: its expression and main container."""
-    read_pages = [read(p) for p in pages]
-    wrapper: list = []
-    for stream, _ in read_pages:
-        folded = fold(stream)
-        if len(folded) <= longest:  # alignment takes quadratic time
-            wrapper = align(wrapper, folded) if wrapper else folded
-    return {"expression": expression(wrapper)[:20000], "main": list(main_container([b for _, b in read_pages]))}
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def extract(page: str, main: tuple[str, ...]) -> str:
-    """The texts of the wrapper's main container, one block a line."""
-    _, blocks = read(page)
-    inside = lambda path: [b.text for b in blocks if not b.outside and b.path[: len(path)] == path]
-    found = inside(main) if main else []
-    if not found:
-        own = main_container([blocks])
-        found = inside(own) if own else [b.text for b in blocks if not b.outside]
-    return "\n".join(found)
+def slots(page: str) -> list[tuple[Path, str]]:
+    """The blocks of text that no outside element holds."""
+    return [(b.path, b.text) for b in read(page)[1] if not b.outside]
 
 
-def wrappers(pages: DataFrame, pages_per_host: int = 8) -> DataFrame:
-    """pages: host, html. Per host: host, wrapper (JSON)."""
-    chosen = Window.partitionBy("host").orderBy("draw", F.length("html"))
-    sample = pages.filter("length(html) between 1 and 1000000").withColumn("draw", F.xxhash64("html"))
-    sample = sample.withColumn("n", F.row_number().over(chosen)).filter(F.col("n") <= pages_per_host).select("host", "html")
+def template(blocks: list[tuple[Path, str]], depth: int = 4) -> int:
+    """The pages of a template have text in the same containers, as far as `depth`."""
+    upper = {p[: max((k + 1 for k, x in enumerate(p[:depth]) if _tag(x) in CONTAINERS), default=0)] for p in {p for p, _ in blocks}}
+    return _hash(json.dumps(sorted(upper)))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(infer(sorted(group["html"])))]})
 
-    return sample.groupBy("host").applyInPandas(one, "host string, wrapper string")
+def extract(blocks: list[tuple[Path, str]], main: Path = (), constants: frozenset[int] = frozenset()) -> str:
+    """A page's texts as its template's wrapper reads them, one block a line."""
+    chars = lambda some: sum(len(t) for _, t in some)
+    found = blocks
+    inside = [(p, t) for p, t in found if p[: len(main)] == main] if main else []
+    if 2 * chars(inside) < chars(found) or not inside:
+        own = main_container((p, len(t)) for p, t in found)
+        inside = [(p, t) for p, t in found if p[: len(own)] == own]
+    return "\n".join(t for _, t in inside)
+
+
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, html in; per template its pages (path ''), per position its characters, per position and text its pages."""
+    for batch in batches:
+        counts: dict[tuple, list[int]] = {}
+
+        def add(key: tuple, pages: int, chars: int, counts=counts) -> None:
+            held = counts.setdefault(key, [0, 0])
+            held[0] += pages
+            held[1] += chars
+
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            blocks = slots(page or "")
+            kind = template(blocks)
+            add((host, kind, "", None, None), 1, 0)
+            met: Counter[tuple[Path, str]] = Counter(blocks)
+            names = {p: json.dumps(p) for p in {p for p, _ in met}}
+            places = {p: _hash(host, str(kind), name) for p, name in names.items()}
+            for (path, text), n in met.items():
+                add((host, kind, names[path], places[path], None), 0, n * len(text))
+                add((None, None, None, places[path], _hash(names[path], text)), 1, n * len(text))
+        if counts:
+            columns = [*zip(*counts, strict=True), *zip(*counts.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTED.types, strict=True)], schema=_COUNTED)
+
+
+_COUNTED = pa.schema([("host", pa.string()), ("template", pa.int64()), ("path", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
+
+
+def _decide(group: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of one template from its positions (text null) and constants."""
+    total: Counter[str] = Counter()
+    varied: Counter[str] = Counter()
+    constants = []
+    for path, text, chars in zip(group["path"], group["text"], group["chars"], strict=True):
+        if text:
+            varied[path] -= chars
+            constants.append(int(text))
+        elif path:
+            total[path] += chars
+            varied[path] += chars
+    used = varied if any(n > 0 for n in varied.values()) else total
+    main = main_container((tuple(json.loads(p)), n) for p, n in used.items() if n > 0)
+    wrapper = json.dumps({"main": main, "constants": sorted(constants)})
+    return pd.DataFrame({"host": group["host"].iloc[:1], "template": group["template"].iloc[:1], "wrapper": [wrapper]})
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """pages: host, html. Per host and template with several pages: host, template, wrapper (JSON)."""
+    counted = pages.mapInArrow(_statistics, "host string, template long, path string, place long, text long, pages long, chars long")
+    counted = counted.groupBy("host", "template", "path", "place", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    counted = stored(counted.filter("text is null or pages > 2"))
+    sizes = counted.filter("path = '' and pages > 1").select("host", "template", F.col("pages").alias("n"))
+    positions = counted.filter("path <> ''").join(sizes, ["host", "template"])
+    texts = counted.filter("text is not null").select("place", "text", "pages", F.col("chars").alias("said"))
+    constants = positions.select("host", "template", "path", "n", "place").join(texts, "place").filter("10 * pages >= 9 * n")
+    # as text, for pandas has no whole numbers beside nulls
+    rows = positions.select("host", "template", "path", F.lit("").alias("text"), "chars").unionByName(constants.select("host", "template", "path", F.col("text").cast("string").alias("text"), F.col("said").alias("chars")))
+    return rows.groupBy("host", "template").applyInPandas(_decide, "host string, template long, wrapper string")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1000):
+            batch = whole.slice(i, 1000)
+            found = [slots(x or "") for x in batch.column("html").to_pylist()]
+            out = []
+            for blocks in found:
+                paths = {p: k for k, p in enumerate(dict.fromkeys(p for p, _ in blocks))}
+                out.append(json.dumps([list(paths), [(paths[p], t) for p, t in blocks]]))
+            columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([template(x) for x in found], pa.int64()), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "template", "blocks"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known: dict[str, tuple] = {}
+        known: dict[str | None, tuple[Path, frozenset[int]]] = {None: ((), frozenset())}
         out = []
-        for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+        for packed, wrapper in zip(batch.column("blocks").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
             if wrapper not in known:
-                known[wrapper] = tuple(json.loads(wrapper)["main"]) if wrapper else ()
-            out.append(extract(page or "", known[wrapper]))
+                read_in = json.loads(wrapper)
+                known[wrapper] = tuple(read_in["main"]), frozenset(read_in["constants"])
+            paths, blocks = json.loads(packed)
+            paths = [tuple(p) for p in paths]
+            out.append(extract([(paths[k], t) for k, t in blocks], *known[wrapper]))
         n = pa.array([len(x) for x in out], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
 
 
-def main_texts(pages: DataFrame, pages_per_host: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    table = stored(wrappers(source.select("host", "html"), pages_per_host))
+    table = stored(wrappers(source.select("host", "html")))
     kind = source.schema["page_id"].dataType.simpleString()
-    joined = source.join(small_or_shuffled(table.select("host", "wrapper"), 20_000), "host", "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
+    read_in = source.mapInArrow(_blocks, f"page_id {kind}, url string, host string, template long, blocks string")
+    joined = read_in.join(small_or_shuffled(table, 20_000), ["host", "template"], "left")
+    return joined.select("page_id", "url", "blocks", "wrapper").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")

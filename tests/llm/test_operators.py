@@ -226,7 +226,7 @@ def test_extraction(spark):
 
 def test_hints_never_drop_the_page():
     text = "Long enough a text to be most of what this page says to its readers."
-    said = lambda page: wrappers.extract(page, ())
+    said = lambda page: wrappers.extract(wrappers.slots(page))
     for name in ("page has-sidebar", "no-comments", "header-fixed"):
         assert said(f'<body><div class="{name}"><div class="sidebar">s</div><article><p>{text}</article></div></body>') == text
         assert said(f'<body><div class="{name}"><div class="sidebar">s</div><p>{text}</div></body>') == text
@@ -234,6 +234,29 @@ def test_hints_never_drop_the_page():
     assert said(page) == f"T\n{text}\nW\na x b\no\n&lt;<i>\nd"
 
 
+def _words(draw, n):
+    return " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+
+
+def test_two_templates_of_a_host(spark):
+    """Pages of a rare template hold a teaser where the others hold their text."""
+    draw = random.Random(3)
+    rows, expected = [], {}
+    for i in range(60):
+        long, short = _words(draw, 60), _words(draw, 8)
+        rare = i % 20 == 7
+        rows.append((i, f"http://t.x/{i}", f'<body><div class="story">{short if rare else long}</div><div class="{"essay" if rare else "links"}">{long if rare else short}</div></body>'))
+        expected[i] = f"{short}\n{long}" if rare else f"{long}\n{short}"
+    # one page of the usual template whose text stands elsewhere for the most part
+    rows.append((99, "http://t.x/99", f'<body><div class="story">{rows[0][2][27:40]}</div><div class="links">{_words(draw, 200)}</div></body>'))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.main_texts(d).collect()}
+    for i in range(60):
+        wanted = expected[i].split("\n")
+        assert max(wanted, key=len) in got[i].split("\n")
+    assert len(got[99].split()) >= 200
+
+
 def test_wrapper_expression():
     assert wrappers.expression(wrappers.align(wrappers.fold(["ul", "li", "#", "/li", "li", "#", "/li", "/ul"]), ["ul", "/ul"])) == "ul ( ( li # /li )+ )? /ul"
 
