@@ -6,7 +6,7 @@ elements (tags with id and class, numbers in them left out), so that stretches t
 and what a page lacks is optional. At each position a text that nine in ten of the template's pages repeat is a
 constant, anything else fills a slot. The main container is the deepest element in which nearly all the slots' text
 stands. These statistics are sums, combined before the shuffle. Then each page is matched with its template's wrapper:
-the texts in the main container are taken in page order, block by block.
+the texts of the slots in the main container are taken in page order, block by block, and constants fall out.
 
 A page is read by itself where the wrapper doesn't fit: if most of its text is constants (copies of one page), they
 count as slots, and if the container holds less than half of its slots' text, the container is the one that the page
@@ -274,6 +274,10 @@ def extract(blocks: list[tuple[Path, str]], main: Path = (), constants: frozense
     """A page's texts as its template's wrapper reads them, one block a line."""
     chars = lambda some: sum(len(t) for _, t in some)
     found = blocks
+    if constants:
+        found = [(p, t) for p, t in blocks if _hash(json.dumps(p), t) not in constants]
+        if 2 * chars(found) < chars(blocks):
+            found = blocks
     inside = [(p, t) for p, t in found if p[: len(main)] == main] if main else []
     if 2 * chars(inside) < chars(found) or not inside:
         own = main_container((p, len(t)) for p, t in found)

@@ -257,6 +257,18 @@ def test_two_templates_of_a_host(spark):
     assert len(got[99].split()) >= 200
 
 
+def test_constants_fall_out(spark):
+    draw = random.Random(4)
+    texts = [[_words(draw, 20) for _ in range(1 + i % 3)] for i in range(30)]
+    body = ["<p>Read our terms before you go on.</p>" + "".join(f"<p>{p}</p>" for p in t) + "<p>Tell a friend.</p>" * (i != 5) for i, t in enumerate(texts)]
+    rows = [(i, f"http://c.x/{i}", f"<body><article>{b}</article></body>") for i, b in enumerate(body)]
+    copies = [(100 + i, "http://copies.x/", rows[0][2]) for i in range(40)]
+    d = spark.createDataFrame([*rows, *copies], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.main_texts(d).collect()}
+    assert all(got[i] == "\n".join(t) for i, t in enumerate(texts))
+    assert all(got[100 + i] == "Read our terms before you go on.\n" + texts[0][0] + "\nTell a friend." for i in range(40))
+
+
 def test_wrapper_expression():
     assert wrappers.expression(wrappers.align(wrappers.fold(["ul", "li", "#", "/li", "li", "#", "/li", "/ul"]), ["ul", "/ul"])) == "ul ( ( li # /li )+ )? /ul"
 
