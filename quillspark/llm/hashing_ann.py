@@ -7,7 +7,9 @@ the query's substring and its neighbours of that distance retrieves every code w
 and within the radius is ranked again by double-precision inner products of the original vectors.
 
 The radius is the smallest at which, within the sample, `recall` of the true neighbours are found; in a larger table
-the neighbours are nearer, so recall there is higher. Equal vectors are one entry of the index with its smallest ids
+the neighbours are nearer, so recall there is higher. Queries that find fewer entries than places within the radius are
+probed again with one half-way to all bits, and those still short with all bits, so each gets k whenever there are k.
+Equal vectors are one entry of the index with its smallest ids
 (never more than k + 1 can be among k results), and equal queries are answered once. Queries and vectors are dealt
 into blocks of bounded size and every block of queries meets every block of vectors, each with its own index; a task
 returns the best k + 1 a query.
@@ -71,6 +73,8 @@ class Index:
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """Positions of all codes within the radius."""
+        if radius >= self.edges[-1]:
+            return np.arange(len(self.codes))
         reach = radius // len(self.tables)
         hit = np.zeros(len(self.codes), bool)
         for (order, bounds), a, b in zip(self.tables, self.edges[:-1], self.edges[1:], strict=True):
@@ -130,13 +134,19 @@ def search(
     codes, radius, size = found
     entries = ids.filter((F.col("n") == 1) & (F.size("vector") == size)).select("entry", "vector")
     queries = ids.filter(F.col("asks") & (F.size("vector") == size)).select("entry", "vector").distinct()
-    n_vectors, n_queries = entries.count(), queries.count()
-    v_blocks, q_blocks = max(1, -(-n_vectors // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    n_vectors = entries.count()
     deal = lambda d, blocks, others, own, other: d.withColumn(own, F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-    left = deal(queries, q_blocks, v_blocks, "qb", "vb")
-    right = deal(entries, v_blocks, q_blocks, "vb", "qb")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+
+    def probe(asking: DataFrame, n_queries: int, radius: int) -> DataFrame:
+        """The best k + 1 entries within the radius of each query."""
+        v_blocks, q_blocks = max(1, -(-n_vectors // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+        left = deal(asking, q_blocks, v_blocks, "qb", "vb").groupBy("qb", "vb")
+        right = deal(entries, v_blocks, q_blocks, "vb", "qb").groupBy("qb", "vb")
+        near = left.cogroup(right).applyInPandas(lambda asked, held: meet(asked, held, radius), "query long, entry long, score double")
+        return near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
 
-    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def meet(asked: pd.DataFrame, held: pd.DataFrame, radius: int) -> pd.DataFrame:
         none = pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(asked) or not len(held):
             return none
@@ -158,9 +168,16 @@ def search(
             out.append(pd.DataFrame({"query": name, "entry": names[at], "score": score}))
         return pd.concat(out) if out else none
 
-    near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, "query long, entry long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    near = stored(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place"))
+    near = stored(probe(queries, queries.count(), radius))
+    while radius < codes.bits:
+        filled = near.groupBy("query").count().filter(F.col("count") >= min(k + 1, n_vectors)).select(F.col("query").alias("entry"))
+        short = stored(queries.join(filled, "entry", "left_anti"))
+        n_short = short.count()
+        if not n_short:
+            break
+        radius = codes.bits if radius > found[1] else (radius + codes.bits + 1) // 2
+        kept = near.join(short.select(F.col("entry").alias("query")), "query", "left_anti")
+        near = stored(kept.unionByName(probe(short, n_short, radius)))
     # from entries back to ids: at most k + 1 of an entry, for each query entry and then for each query
     members = ids.filter(F.col("n") <= k + 1).select("entry", F.col("id").alias("vec_id"))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -196,6 +196,21 @@ def test_neighbours(spark):
     assert hashing_ann.search(d.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_outlying_queries(spark):
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(8, 32))
+    x = np.concatenate([centres[i % 8] + 0.01 * draw.normal(size=32) for i in range(800)] + [-3 * draw.normal(size=32) for _ in range(12)]).reshape(-1, 32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in hashing_ann.search(d, F.col("vec_id") >= 796).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(796, 812)) and all(sorted(r for r, _ in v) == list(range(1, 21)) for v in got.values())
+    few = d.filter("vec_id % 80 = 0 or vec_id >= 805")  # 18 vectors: all others are found
+    found = hashing_ann.search(few, F.col("vec_id") >= 805).groupBy("query_id").count().collect()
+    assert len(found) == 7 and all(r["count"] == 17 for r in found)
+
+
 def test_index_finds_all_within_the_radius():
     codes = np.random.default_rng(1).integers(0, 1 << 32, 2000, dtype=np.uint64)
     index = hashing_ann.Index(codes, 32, 4)
