@@ -16,14 +16,18 @@ def entries(rows: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
 def lookup(cache: DataFrame, requests: DataFrame, threshold: float = 0.95, newest: int = 200) -> DataFrame:
     """requests (request_id, prompt, model, now): request_id, hit_id, response, similarity. Among a model's `newest`
     latest entries before the request, the latest that hasn't expired and is similar enough."""
-    asked = requests.select("request_id", "model", "now", simhash(F.col("prompt")).alias("wanted"))
-    met = asked.join(cache, (asked["model"] == cache["model"]) & (cache["created_at"] <= asked["now"]))
+    asked = requests.select("request_id", F.col("model").alias("asks"), "now", simhash(F.col("prompt")).alias("wanted"))
+    met = asked.join(cache, (F.col("asks") == F.col("model")) & (F.col("created_at") <= F.col("now")))
     latest = Window.partitionBy("request_id").orderBy(F.desc("created_at"), F.desc("id"))
-    met = met.select("request_id", "now", "wanted", "id", "simhash", "response", "created_at", "ttl_seconds", F.row_number().over(latest).alias("place")).filter(F.col("place") <= newest)
+    # responses don't travel with the candidates; they are fetched for the hits
+    known = ["id", "model", "created_at", "prompt_hash"]
+    met = met.select("request_id", "now", "wanted", "simhash", "ttl_seconds", *known, F.row_number().over(latest).alias("place")).filter(F.col("place") <= newest)
     alike = hamming_similarity(F.col("wanted"), F.col("simhash"))
     met = met.withColumn("similarity", alike).filter((F.col("now") - F.col("created_at") <= F.col("ttl_seconds")) & (F.col("similarity") >= threshold))
-    best = met.groupBy("request_id").agg(F.min_by(F.struct("id", "response", "similarity"), "place").alias("hit"))
-    return asked.select("request_id").join(best, "request_id", "left").select("request_id", F.col("hit.id").alias("hit_id"), "hit.response", "hit.similarity")
+    best = met.groupBy("request_id").agg(F.min_by(F.struct(*known, "similarity"), "place").alias("hit")).select("request_id", "hit.*")
+    fetched = best.alias("b").join(cache.select(*known, "response").alias("c"), [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in known])
+    hits = fetched.groupBy("request_id").agg(F.min("b.id").alias("hit_id"), F.min("response").alias("response"), F.min("similarity").alias("similarity"))
+    return asked.select("request_id").join(hits, "request_id", "left")
 
 
 def append(cache: DataFrame, new: DataFrame) -> DataFrame:

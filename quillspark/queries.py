@@ -241,8 +241,10 @@ def h1_cache_lookup(spark, sf):
 def _cache(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"))
     held = cache.entries(d.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"), "model", F.col("text").alias("response"), F.col("doc_id").cast("double").alias("created_at")), 100_000)
-    asked = table(spark, sf, "benchmark").join(d.filter("doc_id < 40"), F.col("item_id") == F.col("doc_id"))
-    return held, asked.select(F.col("item_id").alias("request_id"), d["text"].alias("prompt"), "model", F.lit(50_000.0).alias("now"))
+    b = table(spark, sf, "benchmark")
+    asked = b.join(d, F.col("item_id") == F.col("doc_id"), "left")
+    model = F.concat(F.lit("m"), (F.col("item_id") % 3).cast("string"))
+    return held, asked.select(F.col("item_id").alias("request_id"), F.coalesce(d["text"], b["text"]).alias("prompt"), model.alias("model"), F.lit(50_000.0).alias("now"))
 
 
 @query("m12_cache_stats")
