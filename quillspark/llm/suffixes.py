@@ -9,6 +9,10 @@ from other documents on both sides; the match is extended right and left, and if
 places are noted. Noted stretches of a document are united; longer passages are covered from one kept position to
 the next.
 
+The neighbours show the furthest that a place's surroundings are shared on each side. Where both together could still
+be a passage that no compared pair showed, all windows of min_words words around the places of that anchor are brought
+together by two 64-bit hashes, and those that several documents hold are noted too.
+
 Sorting spills and comparing streams, so a passage in very many documents needs no memory in proportion; documents'
 texts don't move, but for the words around the kept positions that repeat.
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import stored
 from quillspark.llm.textnp import mix, tidy, words
 
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP, _OTHER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -136,17 +140,23 @@ def common_words(a: bytes, b: bytes) -> int:
 
 
 def _match_rows(min_words: int):
-    """Sorted rows in, noted stretches out. Rows of one document that follow each other are a run: all of them are
-    compared with the last row before the run and the first after it."""
+    """Sorted rows in, noted stretches out, and per place (anchor not null) the most words shared left (sorted by left)
+    and right (sorted by right) with any other document, and those noted. Rows of one document that follow each other
+    are a run: all of them are compared with the last row before the run and the first after it."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple] = []
         before: tuple | None = None
         for batch in batches:
             out: list[tuple] = []
+            reach: dict[tuple, tuple] = {}
 
-            def note(x: tuple, y: tuple, out=out) -> None:
+            def note(x: tuple, y: tuple, out=out, reach=reach) -> None:
                 left, right = common_words(x[3], y[3]), common_words(x[4], y[4])
+                seen = (left if x[5] else 0, 0 if x[5] else right, *((left, right) if left + right >= min_words else (0, 0)))
+                for z in (x, y):
+                    at = (z[1], z[2], z[0])
+                    reach[at] = tuple(map(max, reach[at], seen)) if at in reach else seen
                 if left + right >= min_words:
                     first = (x[1] is None, x[1], x[2]) < (y[1] is None, y[1], y[2]) if x[1] is not None and y[1] is not None else x[1] is not None
                     out.append((x[1], x[2] - left, x[2] + right, first))
@@ -164,8 +174,62 @@ def _match_rows(min_words: int):
                     note(before, r)
                 run.append(r)
             kind = batch.schema.field("doc_id").type
-            ids, starts, ends, firsts = zip(*dict.fromkeys(out), strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(firsts, pa.bool_())], names=["doc_id", "start", "end", "first"])
+            rows = [(d, a, b, f, None, 0, 0, 0, 0) for d, a, b, f in dict.fromkeys(out)] + [(d, p, None, None, a, *seen) for (d, p, a), seen in reach.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = [kind, pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "first", "anchor", "left", "right", "noted_left", "noted_right"])
+
+    return tidy(rows_of)
+
+
+def _window_rows(k: int, min_words: int, bits, log2: int):
+    """All windows of min_words words that hold one of the anchors: two hashes, document and start."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.frombuffer(bits.value, np.uint8)
+            for r, h in _texts(batch):
+                at, anchor = kept_positions(h, k, min_words)
+                key = (anchor & np.uint64((1 << log2) - 1)).astype(np.int64)
+                at = at[table[key >> 3] >> (key & 7).astype(np.uint8) & 1 == 1]
+                if not len(at):
+                    continue
+                n = len(h) - min_words + 1
+                start = np.unique((at[:, None] - np.arange(min_words - k + 1)).ravel())
+                start = start[(start >= 0) & (start < n)]
+                a, b = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+                for j in range(min_words):
+                    a = a * _STEP + h[start + j]
+                    b = (b ^ h[start + j]) * _OTHER
+                    b ^= b >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(pa.array(np.full(len(start), r, np.int32))), pa.array(start, pa.int64())],
+                    names=["a", "b", "doc_id", "start"],
+                )
+
+    return tidy(rows)
+
+
+def _equal_rows(min_words: int):
+    """Rows sorted by a, b, document (nulls last) and start in; those windows out that several documents hold."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lead, several, waiting = None, None, False, []
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, doc, start in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if (a, b) != key:
+                    key, lead, several, waiting = (a, b), doc, False, []
+                if doc == lead:
+                    waiting.append((doc, start, start + min_words, True))
+                else:
+                    if not several:
+                        out += waiting
+                        several, waiting = True, []
+                    out.append((doc, start, start + min_words, False))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "first"])
 
     return tidy(rows)
 
@@ -192,8 +256,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col:
     ways = found.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
     key = lambda way, other: F.when(F.col("way") == 0, F.col(way)).otherwise(F.col(other))
     ways = ways.repartition("anchor", "way").sortWithinPartitions("anchor", "way", key("right", "left"), key("left", "right"), "doc_id", "place")
-    noted = ways.mapInArrow(_match_rows(min_words), f"doc_id {kind}, start long, end long, first boolean")
-    noted = noted.groupBy("doc_id", "start", "end").agg(F.min("first").alias("first"))
+    stretch = f"doc_id {kind}, start long, end long, first boolean"
+    matched = ways.mapInArrow(_match_rows(min_words), f"{stretch}, anchor long, left long, right long, noted_left long, noted_right long")
+    most = [F.max(c).alias(c) for c in ("left", "right", "noted_left", "noted_right")]
+    matched = stored(matched.groupBy("doc_id", "start", "end", "anchor").agg(F.min("first").alias("first"), *most))
+    noted = matched.filter("anchor is null").select("doc_id", "start", "end", "first")
+    doubtful = F.col("anchor").isNotNull() & (F.col("left") + F.col("right") >= min_words) & ((F.col("noted_left") < F.col("left")) | (F.col("noted_right") < F.col("right")))
+    open_anchors = stored(matched.filter(doubtful).select("anchor").distinct())
+    if not open_anchors.isEmpty():
+        again = docs.sparkSession.sparkContext.broadcast((held := _bit_map(open_anchors))[0])
+        windows = source.mapInArrow(_window_rows(k, min_words, again, held[1]), f"a long, b long, doc_id {kind}, start long")
+        windows = windows.repartition("a", "b").sortWithinPartitions("a", "b", F.asc_nulls_last("doc_id"), "start")
+        noted = noted.unionByName(windows.mapInArrow(_equal_rows(min_words), stretch)).groupBy("doc_id", "start", "end").agg(F.min("first").alias("first"))
     along = Window.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")

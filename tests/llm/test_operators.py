@@ -129,6 +129,32 @@ def test_repeated_passages(docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_among_decoys(spark):
+    """A passage around a common anchor whose holders are neighbours in neither order."""
+    draw = random.Random(8)
+    new = lambda n: [f"v{draw.randrange(10**6)}" for _ in range(n)]
+    mark = lambda w: suffixes.kept_positions(suffixes.words([" ".join(w).encode()], lower=False)[0], 20, 20)[1][0]
+    anchor, rows = min((new(20) for _ in range(300)), key=mark), []  # its hash is the least in nearly all windows
+    for _ in range(20):
+        left, right = new(40), new(60)
+        held = [left[-15:], right[:15]]
+        texts = [[*new(30), *held[0], *anchor, *held[1], *new(30)] for _ in range(2)]
+        for own in texts:  # others share more on one side, too little in all
+            p = 45
+            texts = [*texts, [*new(50), *own[p : p + 45], *new(30)], [*new(50), *own[p - 29 : p + 20], *new(30)]]
+        rows += texts
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    holders = {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            holders.setdefault(tuple(w[j : j + 50]), set()).add(i)
+    expected = {(i, x) for i, t in rows for j in range(len(t.split()) - 49) if len(holders[tuple(t.split()[j : j + 50])]) > 1 for x in range(j, j + 50)}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, j) for r in suffixes.repeated_passages(d).collect() for j in range(r.start_word, r.start_word + r.n_words)}
+    assert expected and got == expected
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
