@@ -23,6 +23,8 @@ from quillspark.llm.common import checkpoint_dir, stored, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = table(spark, sf_dir, "documents")
     net = langid.train(labelled.filter(~langid.held_out(F.col("doc_id"))))
+    if net is None:  # nothing to learn from: only what no network could place goes
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return langid.predict(docs, net).filter(F.col("lang_pred") != langid.UND).select(docs.columns)
 
 
@@ -31,11 +33,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't the kept one of their group go. The rows to drop are few beside the texts, so they are
-    what is looked up."""
-    found = neardup.near_duplicates(docs)
-    gone = stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    """Rows that aren't the kept one of their group go. A row is known by its doc_id (none comes last) and a hash of its
+    text. The rows to drop are few beside the texts, so they are what is looked up."""
+    said = F.xxhash64("text")
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", said.alias("said")).alias("row"), "text")
+    found = neardup.near_duplicates(named, id_col="row").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stored(found.select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.said").alias("gone_said")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (said == F.col("gone_said")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

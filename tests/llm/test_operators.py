@@ -331,3 +331,66 @@ def test_pipeline(spark, tmp_path):
     assert counts[:3] == [len(rows), len(spoken), len({r[1] for r in spoken})]
     found = neardup.near_duplicates(docs).select("component_id").distinct().count()
     assert found == counts[3]
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """run() against a plain version, with rows that share a doc_id or have none."""
+    import hashlib
+    import math
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "en" if (i or 0) % 2 else "de", s, n) for i, t, _, s, n, *_ in _rows()]
+    draw = random.Random(9)
+    base = [[f"n{draw.randrange(500)}" for _ in range(100)] for _ in range(3)]
+    changed = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows += [(None, changed(base[0], k), "en", "s1", 0) for k in (20, 50, 80)]  # near copies without doc_id
+    rows += [(70, changed(base[1], 30), "en", "s1", 0), (71, changed(base[1], 60), "en", "s2", 0), (71, " ".join(base[2]), "en", "s2", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda r: (r[0] is None, r[0] or 0)
+    kept = {}
+    for r in sorted((r for r in rows if r[1] and re.search("[a-zA-Z]", r[1])), key=lambda r: (r[0] is not None, r[0] or 0)):
+        kept[r[1]] = r  # the largest doc_id of a text
+    left, sets = sorted(kept.values(), key=order), {r[1]: _shingles(r[1]) for r in kept.values()}
+    groups = []
+    for r in left:
+        near = [g for g in groups if any(100 * len(sets[r[1]] & sets[q[1]]) >= 80 * len(sets[r[1]] | sets[q[1]]) for q in g)]
+        groups = [g for g in groups if g not in near] + [sorted([r, *(q for g in near for q in g)], key=order)]
+    wanted = sorted((str(g[0][0]), len(sets[g[0][1]])) for g in groups)
+    docs = spark.createDataFrame(sorted(kept.values(), key=order), schema)
+    deduped = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), len(sets[r.text])) for r in deduped) == wanted
+    assert sum(r.doc_id is None for r in deduped) == 1 and sum(r.doc_id == 71 for r in deduped) == 1
+
+    sizes = {}
+    for r in deduped:
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    weights = {s: [5, 2, 1][i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    ranked, total, heft, level = sorted(sizes, key=lambda s: 3 * sizes[s] / weights[s]), sum(sizes.values()), sum(weights.values()), 0.0
+    for s in ranked:
+        level = max(level, total / heft)
+        total, heft = total - 3 * sizes[s], heft - weights[s]
+    full, tokens, copies = Tokenizer.from_file(packing.vocabulary()), {}, {}
+    for r in deduped:
+        rate = min(3 * sizes[r.source], level * weights[r.source]) / sizes[r.source]
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        drawn = int(md5(f"mix:{'' if r.doc_id is None else r.doc_id}:{md5(r.text)}")[:13], 16) / 2**52
+        n = math.floor(rate) + (drawn < rate - math.floor(rate))
+        if n:
+            copies[r.doc_id] = copies.get(r.doc_id, 0) + n
+            tokens[r.doc_id] = tokens.get(r.doc_id, 0) + n * (len(full.encode(r.text, add_special_tokens=False).ids) + 1)
+    got_copies, got_tokens = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got_copies[r.doc_id] = got_copies.get(r.doc_id, 0) + (r.start == 0)
+        got_tokens[r.doc_id] = got_tokens.get(r.doc_id, 0) + r.length
+    assert got_copies == copies and got_tokens == tokens
+
+
+def test_no_language_is_known(spark, tmp_path):
+    import corpus_pipeline
+
+    d = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, d, str(tmp_path)).collect()] == [1]
