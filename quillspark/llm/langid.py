@@ -1,16 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (a run without white space; longer ones in stretches of 24 bytes) in both
-directions, and gives a distribution over the languages at every position. A document's probabilities are the mean
-over all positions of its whole text. It is trained in numpy by backpropagation through time with Adam.
+The network reads the bytes of a whole text, white space included, in both directions and gives a distribution over the
+languages at every position. A document's probabilities are the mean over all its positions. Texts are read in stretches
+of STRETCH bytes; each direction first reads the CONTEXT bytes beyond the stretch without labelling them, so its state
+has crossed words and the edges of stretches, and a character cut by an edge is read whole. It is trained in numpy by
+backpropagation through time with Adam; the steps of the context are part of it.
 
-The training sample is bounded: at most `docs_per_label` labelled documents of each label, chosen by a hash, and at
-most `words_per_doc` words of each, dealt evenly over its whole text. Prediction runs in Arrow batches. Since a word's
-positions depend on the word alone, each distinct word is computed once and remembered (a bounded memory), so that the
-time per byte is that of finding the words.
+The training sample is bounded by rows: at most `docs_per_label` labelled documents of each label, chosen by a hash among
+those of at most `longest_doc` bytes, each with its whole text. Prediction runs in Arrow batches over whole texts of any
+length, some hundred kilobytes at a time.
 
 Defined results: null texts and texts without a letter are `und` with score 0; an empty table gives an empty result;
-rows that repeat are predicted alike; ties go to the label that sorts first; without any labelled row all is `und`.
+rows that repeat are predicted alike; ties go to the label that sorts first; without any labelled row all is `und`;
+own columns named lang_pred and score give way to the new ones. A very long text is read stretch by stretch like any
+other: about ten bytes of memory a byte of it, for one text at a time.
 """
 
 from __future__ import annotations
@@ -23,23 +26,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import small_or_shuffled, stored
-from quillspark.llm.textnp import _CODE, _LOWER, _SPACE, hash_spans, lay_out, spans, tidy
+from quillspark.llm.textnp import _LOWER, tidy
 
-#: Longest stretch of bytes that the network reads at once.
-LONGEST = 24
+#: Bytes that are labelled at a time, and bytes read before them on either side.
+STRETCH, CONTEXT = 112, 16
+#: Stretches that the network reads side by side, and bytes of text cut into stretches at a time.
+SIDE_BY_SIDE, TEXT_AT_ONCE = 768, 1 << 18
 UND = "und"
 #: Rows of an Arrow batch that are answered at a time, so that few texts are held twice.
 ROWS_AT_ONCE = 256
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in lower case (A-Z) with CONTEXT zeros before each and after the last, the starts and lengths of their
+    stretches, and the first stretch of each text (plus the end)."""
+    gap = bytes(CONTEXT)
+    buf = _LOWER[np.frombuffer(gap + gap.join(texts) + gap, np.uint8)]
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size + CONTEXT) - size
+    n = -(-size // STRETCH)
+    first = np.concatenate([[0], np.cumsum(n)])
+    which = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    begin = np.repeat(start, n) + which * STRETCH
+    return buf, begin, np.minimum(np.repeat(start + size, n) - begin, STRETCH), first
 
 
 class BiGRU:
-    """Parameters by name. w: input rows by byte (the one-hot product), u: recurrent, v: output, c: output bias."""
+    """Parameters by name. w: input rows by byte (the one-hot product), u: recurrent, v: output, c: output bias. The
+    columns of w and u are those of the update gate, the reset gate and the candidate."""
 
-    def __init__(self, labels: list[str], hidden: int = 16, seed: int = 7):
+    def __init__(self, labels: list[str], hidden: int = 12, seed: int = 7):
         draw = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
         scale = 1 / np.sqrt(hidden)
@@ -49,104 +65,136 @@ class BiGRU:
             self.p[f"u{way}"] = draw.normal(0, scale, (hidden, 3 * hidden)).astype(np.float32)
             self.p[f"v{way}"] = draw.normal(0, scale, (hidden, len(labels))).astype(np.float32)
 
-    # The words of a batch are in order of falling length, so those still running at step t are the first live[t].
+    # The stretches of a batch are in order of falling length, so those still running at a step are the first ones.
+
+    @staticmethod
+    def _at(way: str, begin: np.ndarray, length: np.ndarray, step: int) -> tuple[np.ndarray, int]:
+        """Where a way's step reads, and how many stretches are still running."""
+        n = int(np.searchsorted(-length, CONTEXT - step)) if step >= CONTEXT else len(length)
+        at = begin[:n] - CONTEXT + step if way == "f" else begin[:n] + length[:n] + (CONTEXT - 1 - step)
+        return at, n
 
-    def _run(self, way: str, bytes_: np.ndarray, live: np.ndarray, keep: bool):
-        w, u, k = self.p[f"w{way}"], self.p[f"u{way}"], self.hidden
-        state = np.zeros((bytes_.shape[1], k), np.float32)
-        out, memory = np.zeros((*bytes_.shape, k), np.float32), []
-        for t, n in enumerate(live):
-            x, old = w[bytes_[t, :n]], state[:n]
+    @staticmethod
+    def _place(way: str, length: np.ndarray, step: int, n: int):
+        """The positions within their stretches that a step labels."""
+        return step - CONTEXT if way == "f" else (length[:n] - 1 - (step - CONTEXT), np.arange(n))
+
+    def _run(self, way: str, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, logits: np.ndarray, memory: list | None = None) -> None:
+        """Adds the way's share to logits (position, stretch, label)."""
+        k, u, v = self.hidden, self.p[f"u{way}"], self.p[f"v{way}"]
+        # a gate is (1 + tanh(x / 2)) / 2, so its columns are halved once for all bytes
+        half = np.concatenate([np.full(2 * k, 0.5, np.float32), np.ones(k, np.float32)])
+        w, u = self.p[f"w{way}"] * half, u * half
+        state = np.zeros((len(begin), k), np.float32)
+        for step in range(CONTEXT + int(length[0])):
+            at, n = self._at(way, begin, length, step)
+            x, old = w[buf[at]], state[:n]
             g = old @ u
-            zr = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            cand = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-            new = cand + z * (old - cand)
-            if keep:
+            gates = g[:, : 2 * k]
+            gates += x[:, : 2 * k]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z, r = gates[:, :k], gates[:, k:]
+            cand = r * g[:, 2 * k :]
+            cand += x[:, 2 * k :]
+            np.tanh(cand, out=cand)
+            if memory is not None:
                 memory.append((old.copy(), z, r, cand, g[:, 2 * k :]))
+            new = old - cand
+            new *= z
+            new += cand
             state[:n] = new
-            out[t, :n] = new
-        return out, memory
-
-    def _back(self, way: str, bytes_: np.ndarray, live: np.ndarray, memory: list, dout: np.ndarray) -> dict[str, np.ndarray]:
-        u, k = self.p[f"u{way}"], self.hidden
-        dstate, du = np.zeros((bytes_.shape[1], k), np.float32), np.zeros_like(u)
+            if step >= CONTEXT:
+                if way == "f":
+                    logits[step - CONTEXT, :n] += new @ v
+                else:
+                    logits[self._place(way, length, step, n)] += new @ v
+
+    def _back(self, way: str, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, memory: list, dlogits: np.ndarray) -> dict[str, np.ndarray]:
+        u, v, k = self.p[f"u{way}"], self.p[f"v{way}"], self.hidden
+        dstate, du, dv = np.zeros((len(begin), k), np.float32), np.zeros_like(u), np.zeros_like(v)
         rows, grads = [], []
-        for t in range(len(live) - 1, -1, -1):
-            n = live[t]
-            old, z, r, cand, gc = memory[t]
-            dnew = dstate[:n] + dout[t, :n]
+        for step in range(len(memory) - 1, -1, -1):
+            old, z, r, cand, gc = memory[step]
+            at, n = self._at(way, begin, length, step)
+            dnew = dstate[:n]
+            if step >= CONTEXT:
+                place = self._place(way, length, step, n)
+                dl = dlogits[place][:n] if way == "f" else dlogits[place]
+                dv += (cand + z * (old - cand)).T @ dl
+                dnew = dnew + dl @ v.T
             dcand = dnew * (1 - z) * (1 - cand * cand)
             dz = dnew * (old - cand) * z * (1 - z)
             dr = dcand * gc * r * (1 - r)
             dg = np.concatenate([dz, dr, dcand * r], 1)
             du += old.T @ dg
             dstate[:n] = dnew * z + dg @ u.T
-            rows.append(bytes_[t, :n])
+            rows.append(buf[at])
             grads.append(np.concatenate([dz, dr, dcand], 1))
         rows, grads = np.concatenate(rows), np.concatenate(grads)
         order = np.argsort(rows, kind="stable")
         rows, grads = rows[order], grads[order]
-        begin = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
+        edge = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
         dw = np.zeros_like(self.p[f"w{way}"])
-        dw[rows[begin]] = np.add.reduceat(grads, begin, axis=0)
-        return {f"w{way}": dw, f"u{way}": du}
+        dw[rows[edge]] = np.add.reduceat(grads, edge, axis=0)
+        return {f"w{way}": dw, f"u{way}": du, f"v{way}": dv}
+
+    def _probabilities(self, buf, begin, length, memories=(None, None)) -> tuple[np.ndarray, np.ndarray]:
+        """Distributions by position and stretch, and which positions are in their stretch."""
+        p = np.empty((int(length[0]), len(begin), len(self.labels)), np.float32)
+        p[:] = self.p["c"]
+        for way, memory in zip("fb", memories, strict=True):
+            self._run(way, buf, begin, length, p, memory)
+        p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(-1, keepdims=True)
+        return p, np.arange(len(p))[:, None] < length
+
+    def stretch_sums(self, buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Per stretch the probabilities summed over its positions."""
+        out = np.zeros((len(begin), len(self.labels)), np.float32)
+        order = np.argsort(-length, kind="stable")
+        for i in range(0, len(order), SIDE_BY_SIDE):
+            at = order[i : i + SIDE_BY_SIDE]
+            p, used = self._probabilities(buf, begin[at], length[at])
+            out[at] = np.einsum("tnk,tn->nk", p, used.astype(np.float32))
+        return out
 
-    @staticmethod
-    def _both_ways(bytes_: np.ndarray, lengths: np.ndarray):
-        """Bytes by step, forward and backward; words running at each step; for each step and word the other way's step."""
-        steps = int(lengths.max())
-        at = np.arange(steps)[:, None]
-        mirror = np.clip(lengths[None, :] - 1 - at, 0, None)
-        forward = bytes_[:, :steps].T
-        backward = np.take_along_axis(forward, mirror, 0)
-        return forward, backward, (at < lengths[None, :]).sum(1), mirror
-
-    def _probabilities(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
-        logits = forward @ self.p["vf"] + backward @ self.p["vb"] + self.p["c"]
-        logits -= logits.max(-1, keepdims=True)
-        np.exp(logits, out=logits)
-        return logits / logits.sum(-1, keepdims=True)
-
-    def word_sums(self, bytes_: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Per word the probabilities summed over its positions."""
-        out = np.zeros((len(lengths), len(self.labels)), np.float32)
-        order = np.argsort(-lengths, kind="stable")
-        for i in range(0, len(order), 2048):
-            at = order[i : i + 2048]
-            f, b, live, mirror = self._both_ways(bytes_[at], lengths[at])
-            hf, hb = self._run("f", f, live, False)[0], self._run("b", b, live, False)[0]
-            hb = np.take_along_axis(hb, mirror[:, :, None], 0)
-            p = self._probabilities(hf, hb)
-            p[np.arange(len(p))[:, None] >= lengths[at][None, :]] = 0
-            out[at] = p.sum(0)
+    def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
+        """Per text the mean over its positions; zeros for an empty text."""
+        out = np.zeros((len(texts), len(self.labels)))
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) < TEXT_AT_ONCE):
+                size += len(texts[j])
+                j += 1
+            buf, begin, length, first = stretches(texts[i:j])
+            full = first[:-1] < first[1:]
+            if full.any():
+                sums = np.add.reduceat(self.stretch_sums(buf, begin, length).astype(np.float64), first[:-1][full], axis=0)
+                out[i:j][full] = sums / np.add.reduceat(length, first[:-1][full])[:, None]
+            i = j
         return out
 
-    def gradients(self, bytes_: np.ndarray, lengths: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        order = np.argsort(-lengths, kind="stable")
-        bytes_, lengths, label = bytes_[order], lengths[order], label[order]
-        f, b, live, mirror = self._both_ways(bytes_, lengths)
-        hf, mf = self._run("f", f, live, True)
-        hb, mb = self._run("b", b, live, True)
-        hb_at = np.take_along_axis(hb, mirror[:, :, None], 0)
-        p = self._probabilities(hf, hb_at)
-        used = np.arange(len(p))[:, None] < lengths[None, :]
-        total = float(used.sum())
-        column = np.arange(len(label))
+    def gradients(self, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss over all positions and its gradient by parameter."""
+        order = np.argsort(-length, kind="stable")
+        begin, length, label = begin[order], length[order], label[order]
+        memories: tuple[list, list] = ([], [])
+        p, used = self._probabilities(buf, begin, length, memories)
+        total, column = float(used.sum()), np.arange(len(label))
         loss = -np.log(p[:, column, label] + 1e-9)[used].sum() / total
         p[:, column, label] -= 1
         p *= used[:, :, None] / np.float32(total)
-        flat = p.reshape(-1, p.shape[-1])
-        k = self.hidden
-        grads = {"c": flat.sum(0), "vf": hf.reshape(-1, k).T @ flat, "vb": hb_at.reshape(-1, k).T @ flat}
-        back = p @ self.p["vb"].T
-        # the mirror is its own inverse where a word runs; elsewhere nothing is passed on
-        back = np.take_along_axis(back, mirror[:, :, None], 0)
-        grads |= self._back("f", f, live, mf, p @ self.p["vf"].T)
-        grads |= self._back("b", b, live, mb, back)
+        grads = {"c": p.reshape(-1, p.shape[-1]).sum(0)}
+        for way, memory in zip("fb", memories, strict=True):
+            grads |= self._back(way, buf, begin, length, memory, p)
         return loss, grads
 
-    def fit(self, bytes_: np.ndarray, lengths: np.ndarray, label: np.ndarray, epochs: int = 4, batch: int = 512, rate: float = 0.02, seed: int = 11) -> list[float]:
+    def fit(self, buf, begin, length, label, epochs: int = 3, batch: int = 96, rate: float = 0.02, seed: int = 11) -> list[float]:
+        """Adam; the mean loss of each epoch."""
         draw = np.random.default_rng(seed)
         first = {n: np.zeros_like(x) for n, x in self.p.items()}
         second = {n: np.zeros_like(x) for n, x in self.p.items()}
@@ -155,7 +203,7 @@ class BiGRU:
             order, losses_now = draw.permutation(len(label)), []
             for i in range(0, len(order), batch):
                 at = order[i : i + batch]
-                loss, grads = self.gradients(bytes_[at], lengths[at], label[at])
+                loss, grads = self.gradients(buf, begin[at], length[at], label[at])
                 step += 1
                 now = rate * (1 - (step - 1) / steps)
                 for n, g in grads.items():
@@ -167,114 +215,28 @@ class BiGRU:
         return losses
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts laid out in lower case (A-Z), starts and ends of the stretches of at most LONGEST bytes, and the first
-    stretch of each text (plus the end)."""
-    buf, starts = lay_out(texts)
-    buf = _LOWER[buf]
-    begin, end = spans(_SPACE[buf]) if len(buf) else (np.zeros(0, np.int64),) * 2
-    begin = begin[: len(end)]
-    pieces = -(-(end - begin) // LONGEST)
-    if len(pieces) and pieces.max() > 1:
-        first = np.cumsum(pieces) - pieces
-        which = np.arange(pieces.sum()) - np.repeat(first, pieces)
-        begin, end = np.repeat(begin, pieces) + which * LONGEST, np.repeat(end, pieces)
-        end = np.minimum(end, begin + LONGEST)
-    return buf, begin, end, np.searchsorted(begin, starts)
-
-
-def padded(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    at = np.minimum(begin[:, None] + np.arange(LONGEST), len(buf) - 1) if len(buf) else np.zeros((0, LONGEST), int)
-    return buf[at]
-
-
-class Reader:
-    """Document probabilities by a trained network, remembering the words met so far."""
-
-    def __init__(self, net: BiGRU, keep: int = 300_000):
-        self.net, self.keep = net, keep
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.sums = np.zeros((1 << 14, len(self.net.labels)), np.float32)
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.net.labels)))
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < 1 << 18):
-                size += len(texts[j])
-                j += 1
-            out[i:j] = self._some(texts[i:j])
-            i = j
-        return out
-
-    def _some(self, texts: list[bytes]) -> np.ndarray:
-        import pandas as pd
-
-        buf, begin, end, first = stretches(texts)
-        out = np.zeros((len(texts), len(self.net.labels)))
-        if not len(begin):
-            return out
-        codes, distinct = pd.factorize(hash_spans(_CODE[buf], begin, end))
-        if len(self.index) + len(distinct) > self.keep:
-            self._forget()
-        asked = distinct.tolist()
-        known = list(map(self.index.get, asked))
-        new = [j for j, k in enumerate(known) if k is None]
-        if new:
-            where = np.empty(len(distinct), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]
-            at = where[new]
-            have = len(self.index)
-            while have + len(new) > len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.sums[have : have + len(new)] = self.net.word_sums(padded(buf, begin[at], end[at]), end[at] - begin[at])
-            self.index.update(zip([asked[j] for j in new], range(have, have + len(new)), strict=True))
-            known = list(map(self.index.get, asked))
-        sums = self.sums[np.array(known, np.int64)[codes]].astype(np.float64)
-        full = first[:-1] < first[1:]
-        positions = np.add.reduceat(end - begin, first[:-1][full])
-        out[full] = np.add.reduceat(sums, first[:-1][full], axis=0) / positions[:, None]
-        return out
-
-
-def training_words(labelled: DataFrame, docs_per_label: int = 250, words_per_doc: int = 48, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang"):
-    """The bounded sample: word bytes, lengths, label numbers and the labels."""
+def training_texts(labelled: DataFrame, docs_per_label: int = 120, longest_doc: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
+    """The bounded sample: whole texts and their labels."""
     place = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     chosen = Window.partitionBy("label").orderBy("place")
-    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= longest_doc))
     rows = rows.select(F.col(label_col).cast("string").alias("label"), place.alias("place"), F.col(text_col).alias("text"))
     # the texts take no part in finding the smallest places, so nothing long is sorted; they are looked up afterwards
     places = rows.select("label", "place").withColumn("n", F.row_number().over(chosen)).filter(F.col("n") <= docs_per_label)
     places = small_or_shuffled(stored(places.select("label", "place").distinct()))
     rows = rows.join(places, ["label", "place"], "left_semi").dropDuplicates(["label", "place"])
+    found = rows.toArrow().sort_by([("label", "ascending"), ("place", "ascending")])
+    return [t.encode() for t in found.column("text").to_pylist()], found.column("label").to_pylist()
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, words = [], []
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                buf, begin, end, _ = stretches([text.encode()])
-                for k in np.unique(np.linspace(0, len(begin) - 1, words_per_doc).astype(int)) if len(begin) else ():
-                    labels.append(label)
-                    words.append(buf[begin[k] : end[k]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(words, pa.binary())], names=["label", "word"])
-
-    found = rows.mapInArrow(tidy(pick), "label string, word binary").toArrow().sort_by([("label", "ascending"), ("word", "ascending")])
-    labels = sorted(set(found.column("label").to_pylist()))
-    number = {x: i for i, x in enumerate(labels)}
-    buf, begin, end, _ = stretches(found.column("word").to_pylist())
-    return padded(buf, begin, end), end - begin, np.array([number[x] for x in found.column("label").to_pylist()], np.int64), labels
-
-
-def train(labelled: DataFrame, hidden: int = 16, epochs: int = 4, **sample) -> BiGRU | None:
-    bytes_, lengths, label, labels = training_words(labelled, **sample)
-    if not labels:
+
+def train(labelled: DataFrame, hidden: int = 12, epochs: int = 3, **sample) -> BiGRU | None:
+    texts, said = training_texts(labelled, **sample)
+    if not texts:
         return None
-    net = BiGRU(labels, hidden)
-    net.fit(bytes_, lengths, label, epochs)
+    net = BiGRU(sorted(set(said)), hidden)
+    buf, begin, length, first = stretches(texts)
+    label = np.repeat([net.labels.index(x) for x in said], np.diff(first))
+    net.fit(buf, begin, length, label, epochs)
     return net
 
 
@@ -284,20 +246,19 @@ def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text") -> DataF
     schema = docs.select(*own).schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net else None  # its memory ends with the task
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):  # slices share the batch's memory
-                yield answered(reader, batch.slice(start, ROWS_AT_ONCE))
+                yield answered(batch.slice(start, ROWS_AT_ONCE))
 
-    def answered(reader: Reader | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def answered(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, spoken = (batch.column(i).to_pylist() for i in (text_at, len(batch.columns) - 1))
         tags, scores = [UND] * len(texts), [0.0] * len(texts)
-        at = [i for i, x in enumerate(spoken) if x] if reader else []
+        at = [i for i, x in enumerate(spoken) if x] if net else []
         if at:
-            p = reader([texts[i].encode() for i in at])
+            p = net.document_probabilities([texts[i].encode() for i in at])
             best = p.argmax(1)
             for i, k, s in zip(at, best.tolist(), p.max(1).tolist(), strict=True):
-                tags[i], scores[i] = reader.net.labels[k], min(1.0, round(s, 6))
+                tags[i], scores[i] = net.labels[k], min(1.0, round(s, 6))
         kept = [batch.column(i) for i in range(len(own))]
         return pa.RecordBatch.from_arrays([*kept, pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
 

@@ -202,6 +202,59 @@ def test_language(spark, empty):
     assert langid.predict(empty, langid.train(empty)).count() == 0
 
 
+def test_gradients_agree_with_differences():
+    texts = [b"the house by the river " * 9, "größe und straße".encode(), b"x"]
+    net = langid.BiGRU(["de", "en"], 4)
+    net.p = {n: x.astype(np.float64) for n, x in net.p.items()}
+    buf, begin, length, first = langid.stretches(texts)
+    label = np.repeat([1, 0, 1], np.diff(first))
+    _, grads = net.gradients(buf, begin, length, label)
+    draw = np.random.default_rng(3)
+    for name, g in grads.items():
+        largest = np.unravel_index(np.abs(g).argmax(), g.shape)
+        for at in [largest, *(tuple(draw.integers(0, n) for n in g.shape) for _ in range(3))]:
+            old, sides = net.p[name][at], []
+            for step in (1e-2, -1e-2):
+                net.p[name][at] = old + step
+                sides.append(net.gradients(buf, begin, length, label)[0])
+            net.p[name][at] = old
+            assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-2, abs=2e-4)
+
+
+def test_language_of_whole_texts(spark):
+    """Stretches make up the text, the state crosses words, and the end of a very long text counts."""
+    texts = ["é".encode() * 200, b"", b"a b", b"z" * 1000]
+    buf, begin, length, first = langid.stretches(texts)
+    for i, t in enumerate(texts):
+        assert b"".join(buf[b : b + n].tobytes() for b, n in zip(begin[first[i] : first[i + 1]], length[first[i] : first[i + 1]], strict=True)) == t
+    net = langid.BiGRU(["a", "b", "c"], 8)
+    alone = net.document_probabilities([b"ab cd"])[0]
+    whole = net.document_probabilities([b"ab cd" * 20_000, b"ab cd", b"", b"cd ab"])
+    assert np.allclose(whole[1], alone, atol=1e-6) and not whole[2].any() and not np.allclose(whole[3], alone, atol=1e-5)
+    draw = random.Random(5)
+    said = lambda words, n: " ".join(draw.choice(words.split()) for _ in range(n))
+    english, german = "the and of this that with house river", "der und das nicht schön straße größe fluß"
+    rows = [(i, said(german if i % 2 else english, 30), "de" if i % 2 else "en", "x", 9) for i in range(60)]
+    odd = [(100, said(english, 1000) + " " + said(german, 30_000), None, None, None), (101, rows[1][1], None, None, None), (101, rows[1][1], None, None, None)]
+    d = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string, lang_pred string, score int")
+    net = langid.train(d, epochs=6)
+    out = langid.predict(d, net)
+    assert sorted(out.columns) == ["doc_id", "lang", "lang_pred", "score", "text"] and dict(out.dtypes)["score"] == "double"
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    assert got[100][0][0] == "de" and len(got[101]) == 2 and len(set(got[101])) == 1 and got[101][0][0] == "de"
+    assert all(0 < s <= 1 for found in got.values() for _, s in found)
+
+
+def test_ties_go_to_the_first_label(spark):
+    net = langid.BiGRU(["x", "y"], 4)
+    for name, x in net.p.items():
+        net.p[name] = np.zeros_like(x)
+    row = langid.predict(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), net).first()
+    assert (row.lang_pred, row.score) == ("x", 0.5)
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(0)
     x = draw.normal(size=(400, 16))
@@ -394,3 +447,18 @@ def test_no_language_is_known(spark, tmp_path):
     d = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, d, str(tmp_path)).collect()] == [1]
+
+
+def test_the_network_decides_what_goes(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(1, "aaaa", "x", 5), (2, "bbbb", "y", 5), (3, "", "x", 5), (None, "bbbb", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score int")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    net = langid.BiGRU(["w", "x", "y"], 4)
+    for name, x in net.p.items():
+        net.p[name] = np.zeros_like(x)
+    net.p["wf"][ord("a"), 8:] = net.p["wb"][ord("a"), 8:] = 9
+    net.p["vf"][:, 1] = net.p["vb"][:, 1] = 9  # sure of a, at a loss about b
+    monkeypatch.setattr(langid, "train", lambda labelled, **_: net)
+    assert [tuple(r) for r in corpus_pipeline.identify_language(spark, d, str(tmp_path)).collect()] == rows[:1]
