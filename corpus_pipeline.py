@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
 of the next. All but the last return the columns of documents.
 
-Language ID learns from the documents of sf_dir that aren't held out, and only documents that it can't place (`und`:
-no text or no letter) go. Of equal texts the one with the largest doc_id stays, of near duplicates (word 5-grams,
+Language ID learns from the documents of sf_dir that aren't held out. Documents that it can't place go: those without
+text or letter (`und`), and those of which no language has MIN_SCORE of the network's mean probability. Of equal texts the one with the largest doc_id stays, of near duplicates (word 5-grams,
 Jaccard 0.8 or more) the one with the smallest. Mixing emits each document as often as its source's rate says, so rows
 repeat from there on. Packing returns pieces of token sequences.
 """
@@ -20,12 +20,20 @@ from quillspark.llm import langid, mixing, neardup, packing, recipes
 from quillspark.llm.common import checkpoint_dir, stored, table
 
 
+#: A document is rejected if its likeliest language is less likely than this (four languages at chance: 0.25).
+MIN_SCORE = 0.4
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = table(spark, sf_dir, "documents")
     net = langid.train(labelled.filter(~langid.held_out(F.col("doc_id"))))
     if net is None:  # nothing to learn from: only what no network could place goes
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return langid.predict(docs, net).filter(F.col("lang_pred") != langid.UND).select(docs.columns)
+    # columns of docs that have the names of what is predicted are put aside
+    aside = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    said = langid.predict(docs.withColumnsRenamed(aside), net)
+    placed = said.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    return placed.withColumnsRenamed({new: old for old, new in aside.items()}).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
