@@ -31,7 +31,7 @@ from quillspark.llm.textnp import _LOWER, tidy
 #: Bytes that are labelled at a time, and bytes read before them on either side.
 STRETCH, CONTEXT = 112, 16
 #: Stretches that the network reads side by side, and bytes of text cut into stretches at a time.
-SIDE_BY_SIDE, TEXT_AT_ONCE = 768, 1 << 18
+SIDE_BY_SIDE, TEXT_AT_ONCE = 1024, 1 << 18
 UND = "und"
 #: Rows of an Arrow batch that are answered at a time, so that few texts are held twice.
 ROWS_AT_ONCE = 256
@@ -55,7 +55,7 @@ class BiGRU:
     """Parameters by name. w: input rows by byte (the one-hot product), u: recurrent, v: output, c: output bias. The
     columns of w and u are those of the update gate, the reset gate and the candidate."""
 
-    def __init__(self, labels: list[str], hidden: int = 12, seed: int = 7):
+    def __init__(self, labels: list[str], hidden: int = 16, seed: int = 7):
         draw = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
         scale = 1 / np.sqrt(hidden)
@@ -65,73 +65,66 @@ class BiGRU:
             self.p[f"u{way}"] = draw.normal(0, scale, (hidden, 3 * hidden)).astype(np.float32)
             self.p[f"v{way}"] = draw.normal(0, scale, (hidden, len(labels))).astype(np.float32)
 
-    # The stretches of a batch are in order of falling length, so those still running at a step are the first ones.
+    # The stretches of a batch are in order of falling length, so those that a position concerns are the first ones:
+    # `read` of them have it among their bytes or context, `own` of them label it. Both ways go by the same positions.
 
     @staticmethod
-    def _at(way: str, begin: np.ndarray, length: np.ndarray, step: int) -> tuple[np.ndarray, int]:
-        """Where a way's step reads, and how many stretches are still running."""
-        n = int(np.searchsorted(-length, CONTEXT - step)) if step >= CONTEXT else len(length)
-        at = begin[:n] - CONTEXT + step if way == "f" else begin[:n] + length[:n] + (CONTEXT - 1 - step)
-        return at, n
-
-    @staticmethod
-    def _place(way: str, length: np.ndarray, step: int, n: int):
-        """The positions within their stretches that a step labels."""
-        return step - CONTEXT if way == "f" else (length[:n] - 1 - (step - CONTEXT), np.arange(n))
+    def _steps(way: str, length: np.ndarray) -> list[tuple[int, int, int]]:
+        """(position, read, own) in the order in which a way reads."""
+        own = lambda at: int(np.searchsorted(-length, -at))  # noqa: E731 how many are longer than that
+        longest = int(length[0])
+        if way == "f":
+            return [(at, len(length) if at < 0 else own(at), own(at) if at >= 0 else 0) for at in range(-CONTEXT, longest)]
+        return [(at, own(at - CONTEXT) if at >= CONTEXT else len(length), own(at)) for at in range(longest + CONTEXT - 1, -1, -1)]
 
     def _run(self, way: str, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, logits: np.ndarray, memory: list | None = None) -> None:
-        """Adds the way's share to logits (position, stretch, label)."""
-        k, u, v = self.hidden, self.p[f"u{way}"], self.p[f"v{way}"]
-        # a gate is (1 + tanh(x / 2)) / 2, so its columns are halved once for all bytes
+        """Adds the way's share to logits (label, position, stretch). All arrays have the stretches in their rows'
+        direction, so that numpy runs along them."""
+        k, v = self.hidden, np.ascontiguousarray(self.p[f"v{way}"].T)
+        # a gate is (1 + tanh(x / 2)) / 2, so its share of w and u is halved once for all bytes
         half = np.concatenate([np.full(2 * k, 0.5, np.float32), np.ones(k, np.float32)])
-        w, u = self.p[f"w{way}"] * half, u * half
-        state = np.zeros((len(begin), k), np.float32)
-        for step in range(CONTEXT + int(length[0])):
-            at, n = self._at(way, begin, length, step)
-            x, old = w[buf[at]], state[:n]
-            g = old @ u
-            gates = g[:, : 2 * k]
-            gates += x[:, : 2 * k]
+        w, u = (np.ascontiguousarray((self.p[f"{name}{way}"] * half).T) for name in "wu")
+        state = np.zeros((k, len(begin)), w.dtype)
+        room = np.empty(w.shape[0] * len(begin), w.dtype)
+        for at, n, own in self._steps(way, length):
+            x = np.take(w, buf[begin[:n] + at], axis=1, out=room[: len(w) * n].reshape(len(w), n), mode="clip")
+            old = state[:, :n]
+            g = u @ old
+            gates = g[: 2 * k]
+            gates += x[: 2 * k]
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            z, r = gates[:, :k], gates[:, k:]
-            cand = r * g[:, 2 * k :]
-            cand += x[:, 2 * k :]
+            z, r = gates[:k], gates[k:]
+            cand = r * g[2 * k :]
+            cand += x[2 * k :]
             np.tanh(cand, out=cand)
             if memory is not None:
-                memory.append((old.copy(), z, r, cand, g[:, 2 * k :]))
-            new = old - cand
-            new *= z
-            new += cand
-            state[:n] = new
-            if step >= CONTEXT:
-                if way == "f":
-                    logits[step - CONTEXT, :n] += new @ v
-                else:
-                    logits[self._place(way, length, step, n)] += new @ v
+                memory.append((old.copy(), z, r, cand, g[2 * k :]))
+            old -= cand
+            old *= z
+            old += cand
+            if own:
+                logits[:, at, :own] += v @ state[:, :own]
 
     def _back(self, way: str, buf: np.ndarray, begin: np.ndarray, length: np.ndarray, memory: list, dlogits: np.ndarray) -> dict[str, np.ndarray]:
         u, v, k = self.p[f"u{way}"], self.p[f"v{way}"], self.hidden
-        dstate, du, dv = np.zeros((len(begin), k), np.float32), np.zeros_like(u), np.zeros_like(v)
+        dstate, du, dv = np.zeros((k, len(begin)), u.dtype), np.zeros_like(u), np.zeros_like(v)
         rows, grads = [], []
-        for step in range(len(memory) - 1, -1, -1):
-            old, z, r, cand, gc = memory[step]
-            at, n = self._at(way, begin, length, step)
-            dnew = dstate[:n]
-            if step >= CONTEXT:
-                place = self._place(way, length, step, n)
-                dl = dlogits[place][:n] if way == "f" else dlogits[place]
-                dv += (cand + z * (old - cand)).T @ dl
-                dnew = dnew + dl @ v.T
+        for (at, n, own), (old, z, r, cand, gc) in zip(reversed(self._steps(way, length)), reversed(memory), strict=True):
+            dnew = dstate[:, :n]
+            if own:
+                dl = dlogits[:, at, :own]
+                dv += (cand + z * (old - cand))[:, :own] @ dl.T
+                dnew[:, :own] += v @ dl
             dcand = dnew * (1 - z) * (1 - cand * cand)
             dz = dnew * (old - cand) * z * (1 - z)
             dr = dcand * gc * r * (1 - r)
-            dg = np.concatenate([dz, dr, dcand * r], 1)
-            du += old.T @ dg
-            dstate[:n] = dnew * z + dg @ u.T
-            rows.append(buf[at])
-            grads.append(np.concatenate([dz, dr, dcand], 1))
+            dg = np.concatenate([dz, dr, dcand * r])
+            du += old @ dg.T
+            dstate[:, :n] = dnew * z + u @ dg
+            rows.append(buf[begin[:n] + at])
+            grads.append(np.concatenate([dz, dr, dcand]).T)
         rows, grads = np.concatenate(rows), np.concatenate(grads)
         order = np.argsort(rows, kind="stable")
         rows, grads = rows[order], grads[order]
@@ -141,15 +134,15 @@ class BiGRU:
         return {f"w{way}": dw, f"u{way}": du, f"v{way}": dv}
 
     def _probabilities(self, buf, begin, length, memories=(None, None)) -> tuple[np.ndarray, np.ndarray]:
-        """Distributions by position and stretch, and which positions are in their stretch."""
-        p = np.empty((int(length[0]), len(begin), len(self.labels)), np.float32)
-        p[:] = self.p["c"]
+        """Distributions by label, position and stretch, and which positions are in their stretch."""
+        p = np.empty((len(self.labels), int(length[0]), len(begin)), self.p["c"].dtype)
+        p[:] = self.p["c"][:, None, None]
         for way, memory in zip("fb", memories, strict=True):
             self._run(way, buf, begin, length, p, memory)
-        p -= p.max(-1, keepdims=True)
+        p -= p.max(0)
         np.exp(p, out=p)
-        p /= p.sum(-1, keepdims=True)
-        return p, np.arange(len(p))[:, None] < length
+        p /= p.sum(0)
+        return p, np.arange(p.shape[1])[:, None] < length
 
     def stretch_sums(self, buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Per stretch the probabilities summed over its positions."""
@@ -158,7 +151,8 @@ class BiGRU:
         for i in range(0, len(order), SIDE_BY_SIDE):
             at = order[i : i + SIDE_BY_SIDE]
             p, used = self._probabilities(buf, begin[at], length[at])
-            out[at] = np.einsum("tnk,tn->nk", p, used.astype(np.float32))
+            p *= used
+            out[at] = p.sum(1).T
         return out
 
     def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
@@ -185,10 +179,10 @@ class BiGRU:
         memories: tuple[list, list] = ([], [])
         p, used = self._probabilities(buf, begin, length, memories)
         total, column = float(used.sum()), np.arange(len(label))
-        loss = -np.log(p[:, column, label] + 1e-9)[used].sum() / total
-        p[:, column, label] -= 1
-        p *= used[:, :, None] / np.float32(total)
-        grads = {"c": p.reshape(-1, p.shape[-1]).sum(0)}
+        loss = -np.log(p[label, :, column] + 1e-9)[used.T].sum() / total
+        p[label, :, column] -= 1
+        p *= used / p.dtype.type(total)
+        grads = {"c": p.sum((1, 2))}
         for way, memory in zip("fb", memories, strict=True):
             grads |= self._back(way, buf, begin, length, memory, p)
         return loss, grads
@@ -215,7 +209,7 @@ class BiGRU:
         return losses
 
 
-def training_texts(labelled: DataFrame, docs_per_label: int = 120, longest_doc: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
+def training_texts(labelled: DataFrame, docs_per_label: int = 160, longest_doc: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
     """The bounded sample: whole texts and their labels."""
     place = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     chosen = Window.partitionBy("label").orderBy("place")
@@ -229,7 +223,7 @@ def training_texts(labelled: DataFrame, docs_per_label: int = 120, longest_doc:
     return [t.encode() for t in found.column("text").to_pylist()], found.column("label").to_pylist()
 
 
-def train(labelled: DataFrame, hidden: int = 12, epochs: int = 3, **sample) -> BiGRU | None:
+def train(labelled: DataFrame, hidden: int = 16, epochs: int = 3, **sample) -> BiGRU | None:
     texts, said = training_texts(labelled, **sample)
     if not texts:
         return None
