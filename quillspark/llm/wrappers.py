@@ -1,12 +1,16 @@
-"""HTML extraction by inferring wrappers: union-free regular expressions over the token streams of a host's pages.
+"""HTML extraction by inferring wrappers: union-free regular expressions from aligning the token streams of a host's pages.
 
-A wrapper is inferred for each template of a host, from all its pages. Pages are of one template if their texts outside
-notices, menus, adverts, forms and comments stand in the same upper containers. A wrapper's positions are the paths of
-elements (tags with id and class, numbers in them left out), so that stretches that repeat side by side fall together
-and what a page lacks is optional. At each position a text that nine in ten of the template's pages repeat is a
-constant, anything else fills a slot. The main container is the deepest element in which nearly all the slots' text
-stands. These statistics are sums, combined before the shuffle. Then each page is matched with its template's wrapper:
-the texts of the slots in the main container are taken in page order, block by block, and constants fall out.
+A page is a tree of block elements (tags with id and class, numbers in them left out) and texts; notices, menus, adverts,
+forms and comments are told by element, role, id or class and leave the tree. What stands in an element is an expression:
+siblings that repeat side by side are a repeated group. A wrapper is inferred for each template of a host, from all its
+pages: their expressions are aligned one after another, what only some have becomes optional, a group meets the stretch
+that it repeats, and what is in the elements that meet is aligned in turn. Pages are of one template if their texts stand
+in the same upper containers.
+
+Then every page is matched with its wrapper, which gives each of its texts a place in the expression. A text that nine in
+ten of the template's pages (three at least) have at a place is a constant and falls out; all other texts fill slots. The
+main container is the deepest element of the expression in which nearly all slots' text stands (an article or main
+element with half of it comes first), and a page's text is that of the slots in it, block by block in page order.
 
 A page is read by itself where the wrapper doesn't fit: if most of its text is constants (copies of one page), they
 count as slots, and if the container holds less than half of its slots' text, the container is the one that the page
@@ -14,12 +18,12 @@ itself suggests by the same rule. A page alone in its template is read so too.
 
 Defined results: null html counts as empty and gives an empty text; pages without a url or host share one wrapper; rows
 that repeat are extracted alike; an empty table gives an empty result; other columns take no part. An unclosed element
-ends with its parent; character references are decoded once, with or without their semicolon.
+ends with its parent; character references are decoded once, with or without their semicolon. Pages of any length are
+read whole, each in the memory of one worker; elements nested deeper than DEEPEST count as their ancestor there.
 """
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import html as entities
 import json
@@ -99,12 +103,12 @@ class Hinted:
 
 
 class Text:
-    """A block's text with the path of elements around it."""
+    """A block's text with the elements around it, as (serial number, key), outermost first."""
 
-    __slots__ = ("path", "outside", "text", "hints", "marked")
+    __slots__ = ("around", "outside", "text", "hints", "marked")
 
-    def __init__(self, path: tuple[str, ...], outside: bool, text: str, hints: tuple[Hinted, ...] = (), marked: bool = False):
-        self.path, self.outside, self.text, self.hints, self.marked = path, outside, text, hints, marked
+    def __init__(self, around: tuple[tuple[int, str], ...], outside: bool, text: str, hints: tuple[Hinted, ...] = (), marked: bool = False):
+        self.around, self.outside, self.text, self.hints, self.marked = around, outside, text, hints, marked
 
 
 def _weigh_hints(blocks: list[Text]) -> None:
@@ -121,10 +125,14 @@ def _weigh_hints(blocks: list[Text]) -> None:
         b.outside = b.outside or any(not h.main and (marked or 2 * h.chars <= total) for h in b.hints)
 
 
-def read(page: str) -> tuple[list[str], list[Text]]:
-    """The page's token stream and its blocks of text, by a stack of open elements."""
-    stack: list[tuple[str, str, bool, Hinted | None]] = []
-    stream: list[str] = []
+#: Elements nested deeper than this count as their ancestor at that depth.
+DEEPEST = 100
+
+
+def read(page: str) -> list[Text]:
+    """The page's blocks of text, by a stack of open elements (name, key, outside, hint, serial number)."""
+    stack: list[tuple[str, str, bool, Hinted | None, int]] = []
+    serial = 0
     blocks: list[Text] = []
     parts: list[str] = []
 
@@ -133,16 +141,15 @@ def read(page: str) -> tuple[list[str], list[Text]]:
         parts.clear()
         if text:
             hints = tuple(e[3] for e in stack if e[3] is not None)
-            blocks.append(Text(tuple(e[1] for e in stack if e[0] not in INLINE), any(e[2] for e in stack), text, hints, any(e[0] in ("article", "main") for e in stack)))
-            stream.append("#")
+            around = tuple((e[4], e[1]) for e in stack if e[0] not in INLINE)[:DEEPEST]
+            blocks.append(Text(around, any(e[2] for e in stack), text, hints, any(e[0] in ("article", "main") for e in stack)))
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            name, key, out, hint = stack[-1]
+            name, _, out, hint, _ = stack[-1]
             if name not in INLINE or out or hint:
                 flush()
             stack.pop()
-            stream.append(f"/{key}")
 
     for kind, name, rest in tokens(page):
         if kind == "text":
@@ -173,83 +180,236 @@ def read(page: str) -> tuple[list[str], list[Text]]:
                 for e in stack:  # an article in a hinted element of an article may be a comment
                     if e[3] is not None and (name == "h1" or not e[3].within):
                         e[3].main = True
-            stream.append(key)
             if name in VOID:
                 parts.append(" " if name == "br" else "")
             elif not rest.rstrip().endswith("/") or name not in ("svg", "math"):
-                stack.append((name, key, out, Hinted(within) if hinted else None))
+                serial += 1
+                stack.append((name, key, out, Hinted(within) if hinted else None, serial))
     pop(0)
     flush()
     _weigh_hints(blocks)
-    return stream, blocks
+    return blocks
 
 
-# Union-free expressions of single streams: lists of tags, '#' and groups ('+', nodes) or ('?', nodes). They show a
-# template to a reader; the wrappers below, over all pages, are what rows come from.
-
-
-def fold(stream: list, longest: int = 16) -> list:
-    """Stretches that repeat side by side become repeated groups, inner ones first."""
-    for size in range(1, longest + 1):
-        out, i = [], 0
-        while i < len(stream):
-            group = stream[i : i + size]
-            n = 1
-            while stream[i + n * size : i + (n + 1) * size] == group and len(group) == size:
-                n += 1
+def tree(page: str) -> list:
+    """The page's elements that hold main text or may hold it: a node is [key, *children], a child a node or a text."""
+    root: list = [""]
+    open_: list[tuple[int, list]] = [(0, root)]
+    for b in read(page):
+        if b.outside:
+            continue
+        depth = 1
+        while depth < len(open_) and depth <= len(b.around) and open_[depth][0] == b.around[depth - 1][0]:
+            depth += 1
+        del open_[depth:]
+        for serial, key in b.around[depth - 1 :]:
+            node = [key]
+            open_[-1][1].append(node)
+            open_.append((serial, node))
+        open_[-1][1].append(b.text)
+    return root
+
+
+# A wrapper is a union-free regular expression: for each element the sequence of what stands in it. It is a tuple of
+# groups (optional, repeated, members); a member is (key, optional, repeated, the expression of what is in it), and a
+# text has the key '#'. Most groups have one member; several are a stretch of siblings that repeats as a whole.
+
+TEXT = "#"
+#: Longest stretch of different siblings that is sought as a repeated group.
+STRETCH = 4
+#: A sequence that aligning makes longer than this becomes one repeated group of optional members, so that an
+#: expression is bounded by the keys and not by the pages that it was made from.
+LONGEST = 48
+
+Expression = tuple
+
+
+def fold(keys: list[str]) -> list[tuple[bool, list[tuple[str, bool, list[int]]]]]:
+    """Sequences of siblings as groups: (repeated, [(key, repeated, places)]). Equal neighbours are one member, and a
+    stretch of members that follows itself is one group."""
+    runs: list[tuple[str, list[int]]] = []
+    for i, key in enumerate(keys):
+        if runs and runs[-1][0] == key:
+            runs[-1][1].append(i)
+        else:
+            runs.append((key, [i]))
+    names = [r[0] for r in runs]
+    out: list = []
+    i = 0
+    while i < len(runs):
+        for size in range(2, STRETCH + 1):
+            group, n = names[i : i + size], 1
+            if len(set(group)) == size:
+                while names[i + n * size : i + (n + 1) * size] == group:
+                    n += 1
             if n > 1:
-                out.append(("+", tuple(group)) if size > 1 or not isinstance(group[0], tuple) else group[0])
+                met = [runs[i + k : i + n * size : size] for k in range(size)]
+                out.append((True, [(m[0][0], any(len(x[1]) > 1 for x in m), [p for x in m for p in x[1]]) for m in met]))
                 i += n * size
-            else:
-                out.append(stream[i])
-                i += 1
-        stream = out
-    return stream
-
-
-def align(wrapper: list, other: list) -> list:
-    """The wrapper that also reads the other folded stream: what only one of them has becomes optional."""
-    bare = [x[1] if isinstance(x, tuple) and x[0] == "?" else (x,) for x in wrapper]
-    flat = [(i, y) for i, x in enumerate(bare) for y in x]
-    out: list = []
+                break
+        else:
+            out.append((False, [(runs[i][0], len(runs[i][1]) > 1, runs[i][1])]))
+            i += 1
+    if len(out) > LONGEST:
+        met = {}
+        for key, _, places in (m for _, members in out for m in members):
+            met.setdefault(key, []).extend(places)
+        return [(True, [(key, True, places) for key, places in met.items()])]
+    return out
 
-    def optional(nodes: list) -> None:
-        if nodes:
-            out.append(("?", tuple(nodes)))
 
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, [y for _, y in flat], other, autojunk=False).get_opcodes():
-        if kind == "equal":
-            for i, y in flat[a:b]:
-                out.append(("?", (y,)) if isinstance(wrapper[i], tuple) and wrapper[i][0] == "?" else y)
+def pairs(a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> list[tuple[int, int, int, int]]:
+    """Two sequences of groups (by their keys) aligned: which stretches a[i:k] and b[j:l] are the same. Groups with equal
+    keys are, and a group of several members is the same as a stretch of groups that has no other keys. The alignment is
+    the one with the most keys, the first such from the left."""
+    n, m = len(a), len(b)
+    if a == b:
+        return [(i, j, i + 1, j + 1) for i, j in zip(range(n), range(m), strict=True)]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    move: list[list[tuple[int, int] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
+
+    def stretch(group: tuple[str, ...], other: list[tuple[str, ...]], at: int) -> int:
+        end = at
+        while end < len(other) and set(other[end]) <= set(group):
+            end += 1
+        return end
+
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            options: list[tuple[float, tuple[int, int]]] = []
+            if a[i] == b[j]:
+                options.append((len(a[i]) + best[i + 1][j + 1], (i + 1, j + 1)))
+            else:
+                if len(a[i]) > 1 and (end := stretch(a[i], b, j)) > j:
+                    options.append((len({k for g in b[j:end] for k in g}) - 0.5 + best[i + 1][end], (i + 1, end)))
+                if len(b[j]) > 1 and (end := stretch(b[j], a, i)) > i:
+                    options.append((len({k for g in a[i:end] for k in g}) - 0.5 + best[end][j + 1], (end, j + 1)))
+            top = max((o[0] for o in options), default=-1.0)
+            best[i][j] = max(top, best[i + 1][j], best[i][j + 1])
+            if options and top >= best[i][j]:
+                move[i][j] = next(to for score, to in options if score == top)
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if (to := move[i][j]) is not None:
+            out.append((i, j, *to))
+            i, j = to
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            optional([y for _, y in flat[a:b]])
-            optional(other[c:d])
+            j += 1
     return out
 
 
-def expression(wrapper) -> str:
-    return " ".join(x if isinstance(x, str) else f"( {expression(x[1])} ){x[0]}" for x in wrapper)
+def _keys(expression: Expression) -> list[tuple[str, ...]]:
+    return [tuple(m[0] for m in members) for _, _, members in expression]
+
+
+def _joined(some: Expression) -> tuple:
+    """Several groups, and what they are as one: by key the members, optional where a group lacks them."""
+    met: dict[str, tuple] = {}
+    for _, _, members in some:
+        for key, optional, repeated, inner in members:
+            old = met.get(key)
+            met[key] = (key, old[1] or optional, True, align(old[3], inner)) if old else (key, optional, repeated, inner)
+    return tuple(met.values())
+
+
+def align(a: Expression, b: Expression) -> Expression:
+    """The expression that reads what either reads: what only one has becomes optional, a group meets the stretch that it
+    repeats, and what is in elements is aligned in turn."""
+    if a == b:
+        return a
+    out: list[tuple] = []
+    i = j = 0
+    optional = lambda groups: [(True, repeated, members) for _, repeated, members in groups]
+    for i0, j0, i1, j1 in [*pairs(_keys(a), _keys(b)), (len(a), len(b), len(a), len(b))]:
+        out += optional(a[i:i0]) + optional(b[j:j0])
+        if i0 < len(a):
+            one, two = a[i0:i1], b[j0:j1]
+            left, right = _joined(one), _joined(two)
+            held = {m[0]: m for m in (left if len(left) < len(right) else right)}
+            members = []
+            for key, lacks, repeated, inner in right if len(left) < len(right) else left:
+                other = held.get(key)
+                members.append((key, lacks or other[1], repeated or other[2], align(inner, other[3])) if other else (key, True, repeated, inner))
+            whole = len(one) == len(two) == 1
+            out.append((any(g[0] for g in (*one, *two)), any(g[1] for g in (*one, *two)) or not whole, tuple(members)))
+        i, j = i1, j1
+    if len(out) > LONGEST:
+        return ((True, True, tuple((key, True, True, inner) for key, _, _, inner in _joined(tuple(out)))),)
+    return tuple(out)
+
+
+def expression_of(node: list) -> Expression:
+    """What is in one page's element."""
+    keys = [TEXT if isinstance(x, str) else x[0] for x in node[1:]]
+    out = []
+    for repeated, members in fold(keys):
+        found = []
+        for key, several, places in members:
+            inner: Expression | None = None
+            for p in places if key != TEXT else ():
+                own = expression_of(node[1 + p])
+                inner = own if inner is None else align(inner, own)
+            found.append((key, repeated and len(places) < 2, several, inner or ()))
+        out.append((False, repeated, tuple(found)))
+    return tuple(out)
+
+
+def shown(expression: Expression) -> str:
+    """The expression as text."""
+    mark = lambda optional, repeated: "*" if optional and repeated else "?" if optional else "+" if repeated else ""
+    part = lambda key, inner: key if key == TEXT else f"<{key}>{shown(inner)}</{key}>"
+    out = []
+    for optional, repeated, members in expression:
+        said = [f"({part(key, inner)}){q}" if (q := mark(o, r)) else part(key, inner) for key, o, r, inner in members]
+        out.append(f"({''.join(said)}){q}" if (q := mark(optional, repeated)) else "".join(said))
+    return "".join(out)
+
+
+Place = tuple[str, ...]
+
+
+def match(node: list, expression: Expression, at: Place = ()) -> list[tuple[Place, str]]:
+    """The page's texts in order, each with its place in the wrapper: the keys of the elements around it, each with the
+    number of its group. What the wrapper doesn't read has no number."""
+    kids = node[1:]
+    groups = fold([TEXT if isinstance(x, str) else x[0] for x in kids])
+    found: list[tuple[str, Expression] | None] = [None] * len(kids)
+    for i0, j0, i1, j1 in pairs(_keys(expression), [tuple(m[0] for m in members) for _, members in groups]):
+        for _, members in groups[j0:j1]:
+            for key, _, places in members:
+                g, inner = next((g, m[3]) for g in range(i0, i1) for m in expression[g][2] if m[0] == key)
+                for p in places:
+                    found[p] = (f"{key}|{g}", inner)
+    out = []
+    for child, where in zip(kids, found, strict=True):
+        name, inner = where or (TEXT if isinstance(child, str) else child[0], ())
+        if isinstance(child, str):
+            out.append(((*at, name), child))
+        else:
+            out += match(child, inner, (*at, name))
+    return out
 
 
 #: Elements that can be a main container.
 CONTAINERS = frozenset("html body article main section div td".split())
-Path = tuple[str, ...]
 
 
 def _tag(key: str) -> str:
-    return re.split(r"[.#]", key)[0]
+    return re.split(r"[.#|]", key)[0]
 
 
-def main_container(volumes: Iterable[tuple[Path, int]], share: float = 0.9) -> Path:
-    """The deepest path that holds at least `share` of the text, or an article or main element with half of it.
-    volumes: paths of blocks with their characters."""
-    volume: Counter[Path] = Counter()
+def main_container(volumes: Iterable[tuple[Place, int]], share: float = 0.9) -> Place:
+    """The deepest element that holds at least `share` of the text, or an article or main element with half of it.
+    volumes: places of texts with their characters."""
+    volume: Counter[Place] = Counter()
     total = 0
-    for path, chars in volumes:
+    for place, chars in volumes:
         total += chars
-        for k in range(1, len(path) + 1):
-            if _tag(path[k - 1]) in CONTAINERS:
-                volume[path[:k]] += chars
+        for k in range(1, len(place)):
+            if _tag(place[k - 1]) in CONTAINERS:
+                volume[place[:k]] += chars
     marked = [p for p, n in volume.items() if n >= 0.5 * total and _tag(p[-1]) in ("article", "main")]
     held = marked or [p for p, n in volume.items() if n >= share * total]
     return max(held, key=lambda p: (len(p), volume[p], p), default=())
@@ -259,25 +419,29 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def slots(page: str) -> list[tuple[Path, str]]:
-    """The blocks of text that no outside element holds."""
-    return [(b.path, b.text) for b in read(page)[1] if not b.outside]
+def template(node: list, depth: int = 4) -> int:
+    """Pages are of one template if their texts stand in the same upper containers, as far as `depth`."""
+    found = set()
 
+    def walk(x: list, path: tuple[str, ...]) -> None:
+        for child in x[1:]:
+            if isinstance(child, list) and len(path) < depth and _tag(child[0]) in CONTAINERS:
+                walk(child, (*path, child[0]))
+            else:
+                found.add(path)
 
-def template(blocks: list[tuple[Path, str]], depth: int = 4) -> int:
-    """The pages of a template have text in the same containers, as far as `depth`."""
-    upper = {p[: max((k + 1 for k, x in enumerate(p[:depth]) if _tag(x) in CONTAINERS), default=0)] for p in {p for p, _ in blocks}}
-    return _hash(json.dumps(sorted(upper)))
+    walk(node, ())
+    return _hash(json.dumps(sorted(found)))
 
 
-def extract(blocks: list[tuple[Path, str]], main: Path = (), constants: frozenset[int] = frozenset()) -> str:
+def extract(node: list, wrapper: Expression | None = None, main: Place = (), constants: frozenset[int] = frozenset()) -> str:
     """A page's texts as its template's wrapper reads them, one block a line."""
     chars = lambda some: sum(len(t) for _, t in some)
-    found = blocks
+    texts = found = match(node, expression_of(node) if wrapper is None else wrapper)
     if constants:
-        found = [(p, t) for p, t in blocks if _hash(json.dumps(p), t) not in constants]
-        if 2 * chars(found) < chars(blocks):
-            found = blocks
+        found = [(p, t) for p, t in texts if _hash(json.dumps(p), t) not in constants]
+        if 2 * chars(found) < chars(texts):
+            found = texts
     inside = [(p, t) for p, t in found if p[: len(main)] == main] if main else []
     if 2 * chars(inside) < chars(found) or not inside:
         own = main_container((p, len(t)) for p, t in found)
@@ -285,90 +449,158 @@ def extract(blocks: list[tuple[Path, str]], main: Path = (), constants: frozense
     return "\n".join(t for _, t in inside)
 
 
+def _load(packed: str) -> Expression:
+    """An expression from JSON."""
+
+    def tuples(x):
+        return tuple(map(tuples, x)) if isinstance(x, list) else x
+
+    return tuples(json.loads(packed))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as trees, with their template and expression, as JSON."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            batch = whole.slice(i, 500)
+            trees = [tree(x or "") for x in batch.column("html").to_pylist()]
+            kinds = pa.array([template(t) for t in trees], pa.int64())
+            said = [json.dumps(t, ensure_ascii=False, separators=(",", ":")) for t in trees]
+            read_as = [json.dumps(expression_of(t), separators=(",", ":")) for t in trees]
+            columns = [*(batch.column(c) for c in ("page_id", "url", "host")), kinds, pa.array(said, pa.string()), pa.array(read_as, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "template", "tree", "expression"])
+
+
+#: Shares into which the expressions of a template are dealt to be aligned.
+SHARES = 64
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, template, share and expression in; per share the expression that reads all of them, and
+    their pages, out. One expression is held at a time."""
+    held: tuple | None = None
+    pages, reads = 0, ()
+
+    def row() -> pa.RecordBatch:
+        columns = [pa.array([held[0]], pa.string()), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32()), pa.array([json.dumps(reads)], pa.string()), pa.array([pages], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "template", "share", "expression", "pages"])
+
+    for batch in batches:
+        for *key, packed, n in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "share", "expression", "pages")), strict=True):
+            if held != tuple(key):
+                if held:
+                    yield row()
+                held, pages, reads = tuple(key), 0, _load(packed)
+            pages += n
+            reads = align(reads, _load(packed))
+    if held:
+        yield row()
+
+
+def _one_wrapper(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("share")
+    reads = _load(group["expression"].iloc[0])
+    for packed in group["expression"].iloc[1:]:
+        reads = align(reads, _load(packed))
+    return pd.DataFrame({"host": group["host"].iloc[:1], "template": group["template"].iloc[:1], "expression": [json.dumps(reads)], "pages": [int(group["pages"].sum())]})
+
+
+def infer(parsed: DataFrame) -> DataFrame:
+    """parsed: host, template, expression. Per host and template the wrapper: host, template, expression, pages.
+
+    Equal expressions are counted before the shuffle. Those of a template are dealt into shares, each aligned one after
+    another in their own order while they stream by, and then the shares; so the result doesn't depend on how rows are
+    dealt, and no task holds more than a share's expression and SHARES of them."""
+    counted = parsed.groupBy("host", "template", "expression").agg(F.count("*").alias("pages"))
+    counted = counted.withColumn("share", F.pmod(F.xxhash64("expression"), F.lit(SHARES)).cast("int"))
+    dealt = counted.repartition("host", "template", "share").sortWithinPartitions("host", "template", "share", "expression")
+    shares = dealt.select("host", "template", "share", "expression", "pages").mapInArrow(_aligned, "host string, template long, share int, expression string, pages long")
+    return shares.groupBy("host", "template").applyInPandas(_one_wrapper, "host string, template long, expression string, pages long")
+
+
+class _Known:
+    """Wrappers read from JSON, remembered within a batch."""
+
+    def __init__(self) -> None:
+        self.held: dict[str | None, Expression | None] = {None: None}
+
+    def __call__(self, packed: str | None) -> Expression | None:
+        if packed not in self.held:
+            self.held[packed] = _load(packed)
+        return self.held[packed]
+
+
+_COUNTED = pa.schema([("host", pa.string()), ("template", pa.int64()), ("place", pa.string()), ("key", pa.int64()), ("text", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, html in; per template its pages (path ''), per position its characters, per position and text its pages."""
+    """Pages with their wrapper in; per place of a wrapper its characters, and per place and text (place null) its pages
+    and characters."""
     for batch in batches:
         counts: dict[tuple, list[int]] = {}
+        known = _Known()
 
         def add(key: tuple, pages: int, chars: int, counts=counts) -> None:
             held = counts.setdefault(key, [0, 0])
             held[0] += pages
             held[1] += chars
 
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            blocks = slots(page or "")
-            kind = template(blocks)
-            add((host, kind, "", None, None), 1, 0)
-            met: Counter[tuple[Path, str]] = Counter(blocks)
+        for host, kind, packed, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "tree", "wrapper")), strict=True):
+            met: Counter[tuple[Place, str]] = Counter(match(json.loads(packed), known(wrapper)))
             names = {p: json.dumps(p) for p in {p for p, _ in met}}
-            places = {p: _hash(host, str(kind), name) for p, name in names.items()}
-            for (path, text), n in met.items():
-                add((host, kind, names[path], places[path], None), 0, n * len(text))
-                add((None, None, None, places[path], _hash(names[path], text)), 1, n * len(text))
+            keys = {p: _hash(host, str(kind), name) for p, name in names.items()}
+            for (place, text), n in met.items():
+                add((host, kind, names[place], keys[place], None), 0, n * len(text))
+                add((None, None, None, keys[place], _hash(names[place], text)), 1, n * len(text))
         if counts:
             columns = [*zip(*counts, strict=True), *zip(*counts.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTED.types, strict=True)], schema=_COUNTED)
 
 
-_COUNTED = pa.schema([("host", pa.string()), ("template", pa.int64()), ("path", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
-
-
 def _decide(group: pd.DataFrame) -> pd.DataFrame:
-    """The wrapper of one template from its positions (text null) and constants."""
+    """The main container and the constants of one wrapper, from its places (text null) and constant texts."""
     total: Counter[str] = Counter()
     varied: Counter[str] = Counter()
     constants = []
-    for path, text, chars in zip(group["path"], group["text"], group["chars"], strict=True):
+    for place, text, chars in zip(group["place"], group["text"], group["chars"], strict=True):
         if text:
-            varied[path] -= chars
+            varied[place] -= chars
             constants.append(int(text))
-        elif path:
-            total[path] += chars
-            varied[path] += chars
+        else:
+            total[place] += chars
+            varied[place] += chars
     used = varied if any(n > 0 for n in varied.values()) else total
     main = main_container((tuple(json.loads(p)), n) for p, n in used.items() if n > 0)
-    wrapper = json.dumps({"main": main, "constants": sorted(constants)})
-    return pd.DataFrame({"host": group["host"].iloc[:1], "template": group["template"].iloc[:1], "wrapper": [wrapper]})
+    return pd.DataFrame({"host": group["host"].iloc[:1], "template": group["template"].iloc[:1], "decided": [json.dumps({"main": main, "constants": sorted(constants)})]})
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """pages: host, html. Per host and template with several pages: host, template, wrapper (JSON)."""
-    counted = pages.mapInArrow(_statistics, "host string, template long, path string, place long, text long, pages long, chars long")
-    counted = counted.groupBy("host", "template", "path", "place", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+def decide(parsed: DataFrame, found: DataFrame) -> DataFrame:
+    """parsed pages and their templates' wrappers (host, template, wrapper, n). Per wrapper: host, template, decided."""
+    met = parsed.select("host", "template", "tree").join(small_or_shuffled(found.select("host", "template", "wrapper"), SMALL), ["host", "template"])
+    counted = met.mapInArrow(_statistics, "host string, template long, place string, key long, text long, pages long, chars long")
+    counted = counted.groupBy("host", "template", "place", "key", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
     counted = stored(counted.filter("text is null or pages > 2"))
-    sizes = counted.filter("path = '' and pages > 1").select("host", "template", F.col("pages").alias("n"))
-    positions = counted.filter("path <> ''").join(sizes, ["host", "template"])
-    texts = counted.filter("text is not null").select("place", "text", "pages", F.col("chars").alias("said"))
-    constants = positions.select("host", "template", "path", "n", "place").join(texts, "place").filter("10 * pages >= 9 * n")
+    places = counted.filter("text is null").join(found.select("host", "template", "n"), ["host", "template"])
+    texts = counted.filter("text is not null").select("key", "text", "pages", F.col("chars").alias("said"))
+    constants = places.select("host", "template", "place", "n", "key").join(texts, "key").filter("10 * pages >= 9 * n")
     # as text, for pandas has no whole numbers beside nulls
-    rows = positions.select("host", "template", "path", F.lit("").alias("text"), "chars").unionByName(constants.select("host", "template", "path", F.col("text").cast("string").alias("text"), F.col("said").alias("chars")))
-    return rows.groupBy("host", "template").applyInPandas(_decide, "host string, template long, wrapper string")
+    rows = places.select("host", "template", "place", F.lit("").alias("text"), "chars").unionByName(constants.select("host", "template", "place", F.col("text").cast("string").alias("text"), F.col("said").alias("chars")))
+    return rows.groupBy("host", "template").applyInPandas(_decide, "host string, template long, decided string")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, 1000):
-            batch = whole.slice(i, 1000)
-            found = [slots(x or "") for x in batch.column("html").to_pylist()]
-            out = []
-            for blocks in found:
-                paths = {p: k for k, p in enumerate(dict.fromkeys(p for p, _ in blocks))}
-                out.append(json.dumps([list(paths), [(paths[p], t) for p, t in blocks]]))
-            columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([template(x) for x in found], pa.int64()), pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "template", "blocks"])
+#: Wrappers are broadcast up to this number of templates (counted before).
+SMALL = 20_000
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known: dict[str | None, tuple[Path, frozenset[int]]] = {None: ((), frozenset())}
+        known, decisions = _Known(), {None: ((), frozenset())}
         out = []
-        for packed, wrapper in zip(batch.column("blocks").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if wrapper not in known:
-                read_in = json.loads(wrapper)
-                known[wrapper] = tuple(read_in["main"]), frozenset(read_in["constants"])
-            paths, blocks = json.loads(packed)
-            paths = [tuple(p) for p in paths]
-            out.append(extract([(paths[k], t) for k, t in blocks], *known[wrapper]))
+        for packed, wrapper, decided in zip(*(batch.column(c).to_pylist() for c in ("tree", "wrapper", "decided")), strict=True):
+            if decided not in decisions:
+                read_in = json.loads(decided)
+                decisions[decided] = tuple(read_in["main"]), frozenset(read_in["constants"])
+            out.append(extract(json.loads(packed), known(wrapper), *decisions[decided]))
         n = pa.array([len(x) for x in out], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
 
@@ -377,8 +609,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Per page: page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    table = stored(wrappers(source.select("host", "html")))
     kind = source.schema["page_id"].dataType.simpleString()
-    read_in = source.mapInArrow(_blocks, f"page_id {kind}, url string, host string, template long, blocks string")
-    joined = read_in.join(small_or_shuffled(table, 20_000), ["host", "template"], "left")
-    return joined.select("page_id", "url", "blocks", "wrapper").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
+    parsed = stored(source.mapInArrow(_parsed, f"page_id {kind}, url string, host string, template long, tree string, expression string"))
+    found = stored(infer(parsed.select("host", "template", "expression")).filter("pages > 1"))
+    found = found.select("host", "template", F.col("expression").alias("wrapper"), F.col("pages").alias("n"))
+    decided = decide(parsed, found)
+    table = stored(found.join(decided, ["host", "template"], "left").select("host", "template", "wrapper", "decided"))
+    joined = parsed.select("page_id", "url", "host", "template", "tree").join(small_or_shuffled(table, SMALL), ["host", "template"], "left")
+    return joined.select("page_id", "url", "tree", "wrapper", "decided").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")

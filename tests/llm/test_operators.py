@@ -320,7 +320,7 @@ def test_extraction(spark):
 
 def test_hints_never_drop_the_page():
     text = "Long enough a text to be most of what this page says to its readers."
-    said = lambda page: wrappers.extract(wrappers.slots(page))
+    said = lambda page: wrappers.extract(wrappers.tree(page))
     for name in ("page has-sidebar", "no-comments", "header-fixed"):
         assert said(f'<body><div class="{name}"><div class="sidebar">s</div><article><p>{text}</article></div></body>') == text
         assert said(f'<body><div class="{name}"><div class="sidebar">s</div><p>{text}</div></body>') == text
@@ -363,8 +363,67 @@ def test_constants_fall_out(spark):
     assert all(got[100 + i] == "Read our terms before you go on.\n" + texts[0][0] + "\nTell a friend." for i in range(40))
 
 
-def test_wrapper_expression():
-    assert wrappers.expression(wrappers.align(wrappers.fold(["ul", "li", "#", "/li", "li", "#", "/li", "/ul"]), ["ul", "/ul"])) == "ul ( ( li # /li )+ )? /ul"
+def _expression(body):
+    return wrappers.expression_of(wrappers.tree(f"<div>{body}</div>")[1])
+
+
+def test_wrapper_expressions():
+    assert wrappers.shown(_expression("<ul><li>a<li>b</ul><p>x")) == "<ul>(<li>#</li>)+</ul><p>#</p>"
+    # a stretch that follows itself is a repeated group
+    assert wrappers.shown(_expression("<h2>a</h2><p>b</p><p>c</p><h2>d</h2><p>e</p>")) == "(<h2>#</h2>(<p>#</p>)+)+"
+    aligned = wrappers.align(_expression("<h2>a</h2><p>b</p>"), _expression("<p>b</p><ul><li>c</ul>"))
+    assert wrappers.shown(aligned) == "(<h2>#</h2>)?<p>#</p>(<ul><li>#</li></ul>)?"
+    # a group meets the stretch that it repeats
+    both = wrappers.align(_expression("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><ul><li>e</ul>"), _expression("<h2>a</h2><p>b</p><ul><li>f<li>g</ul>"))
+    assert wrappers.shown(both) == "(<h2>#</h2><p>#</p>)+<ul>(<li>#</li>)+</ul>"
+    # equal texts of other pages have the same places, whatever stands before them
+    first, second = (wrappers.tree(f"<div>{x}</div>")[1] for x in ("<h2>a</h2><p>b</p>", "<p>b</p><ul><li>c</ul>"))
+    places = [dict((t, p) for p, t in wrappers.match(x, aligned)) for x in (first, second)]
+    assert places[0]["b"] == places[1]["b"] and places[0]["a"] != places[0]["b"]
+
+
+def test_expressions_stay_bounded():
+    draw = random.Random(3)
+    names = [f"<div class={c}>x</div>" for c in "abcdefgh"]
+    reads = ()
+    for _ in range(300):
+        reads = wrappers.align(reads, _expression("".join(draw.choice(names) for _ in range(draw.randrange(1, 120)))))
+        assert len(reads) <= wrappers.LONGEST
+    assert {m[0] for _, _, members in reads for m in members} == {f"div.{c}" for c in "abcdefgh"}
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """A text before and after others, at one place only if the pages' streams are aligned."""
+    draw = random.Random(6)
+    rows = []
+    for i in range(30):
+        parts = [f"<div class=a>{_words(draw, 9)}</div>"] * (i % 2) + ["<div class=n>Read this notice.</div>", f"<div class=b>{_words(draw, 40)}</div>"]
+        rows.append((i, f"http://n.x/{i}", f"<body><article>{''.join(parts)}</article></body>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text.split("\n") for r in wrappers.main_texts(d).collect()}
+    assert all("Read this notice." not in t and len(t) == 1 + i % 2 for i, t in got.items())
+    # a constant of one place is a slot's text at another
+    rows = [(i, f"http://m.x/{i}", f"<body><article><p>{_words(draw, 9)}</p><ul><li>{_words(draw, 9)}</ul><p>Tell a friend.</p></article></body>") for i in range(40)]
+    rows.append((40, "http://m.x/40", f"<body><article><p>Tell a friend.</p><ul><li>{_words(draw, 9)}</ul></article></body>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text.split("\n") for r in wrappers.main_texts(d).collect()}
+    assert all(len(got[i]) == 2 and "Tell a friend." not in got[i] for i in range(40)) and got[40][0] == "Tell a friend."
+    pages = [wrappers.tree(r[2]) for r in rows]
+    place = lambda: {p for x in (pages[0], pages[40]) for p, t in wrappers.match(x, wrappers.align(*map(wrappers.expression_of, (pages[0], pages[40])))) if t == "Tell a friend."}
+    assert len(place()) == 2
+    monkeypatch.setattr(wrappers, "pairs", lambda a, b: [])
+    assert len(place()) == 1
+
+
+def test_odd_pages(spark):
+    """Very long and deep pages, repeated rows, other columns with the names of the result."""
+    long = "<body><article>" + "".join(f"<p>word{i} and more words</p>" for i in range(20_000)) + "</article></body>"
+    deep = "<body>" + "<div>" * 3000 + "deep text" + "</div>" * 3000 + "</body>"
+    rows = [(1, "http://o.x/1", long, "t", 5, "h"), (2, "http://o.x/2", deep, "t", 5, "h"), (3, "http://o.x/3", deep, None, None, None), (3, "http://o.x/3", deep, None, None, None), (None, None, "<p>x", None, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, host string")
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in wrappers.main_texts(d).collect()), key=str)
+    whole = "\n".join(f"word{i} and more words" for i in range(20_000))
+    assert got == sorted([(1, whole, len(whole)), (2, "deep text", 9), (3, "deep text", 9), (3, "deep text", 9), (None, "x", 1)], key=str)
 
 
 def test_pipeline(spark, tmp_path):
