@@ -12,6 +12,7 @@ SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 FENCE = r"(?s)```.*?```"
 BLOCK_BREAK = r"\n{2,}|(?<=\n)---+\n"
+WORD = r"[\p{L}\p{N}_]+"
 SENTENCE_BREAK = rf"(?<=[.!?]){SPACE}+(?=[A-Z])"
 
 
@@ -113,13 +114,11 @@ def _replaced(t: Column, rules) -> Column:
     return t
 
 
-def strip_markup(text: Column, number: Callable[[Column], Column] | None = None) -> Column:
-    """Wrapper tags, underlines and character entities. number: decodes numeric entities (see functions.arrow)."""
+def strip_markup(text: Column) -> Column:
+    """Wrapper tags, underlines and named character entities; functions.arrow.optimize_format does numeric ones too."""
     t = _replaced(text_of(text), MARKUP)
     for name, by in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(by))
-    if number is not None:
-        t = F.when(t.rlike(r"&#\d+;"), number(t)).otherwise(t)
     return _replaced(t, DELIMITERS)
 
 
@@ -143,7 +142,12 @@ def truncate_code_blocks(text: Column, max_lines: Column | int, ends: int = 20)
 
 
 def token_count(text: Column, backend: str = "approx") -> Column:
-    """approx: words times 1.3, rounded up; chars: characters over 4, rounded up."""
+    """approx: words times 1.3, rounded up; chars: characters over 4, rounded up; bpe:<path>: tokens of that vocabulary
+    file."""
+    if backend.startswith("bpe:"):
+        from quillspark.functions import arrow
+
+        return arrow.bpe_count(text, backend[4:])
     if backend == "approx":
         return F.ceil(F.size(words(text_of(text))) * F.lit(1.3)).cast("long")
     if backend == "chars":
@@ -156,9 +160,14 @@ def ratio(before: Column, after: Column) -> Column:
 
 
 def quality_score(before: Column, after: Column) -> Column:
-    """Similarity of the word sets; 1 if nothing is left."""
-    a, b = F.array_distinct(words(F.lower(text_of(before)))), F.array_distinct(words(F.lower(text_of(after))))
-    return F.when(F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Similarity of the word sets (runs of letters, digits and underscores); 1 if nothing is left."""
+    found = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(text_of(t)), F.lit(WORD), F.lit(0)))
+
+    def score(both: Column) -> Column:
+        common = F.size(F.array_intersect(both.a, both.b))
+        return F.when(F.size(both.b) == 0, F.lit(1.0)).otherwise(common / (F.size(both.a) + F.size(both.b) - common))
+
+    return let(F.struct(found(before).alias("a"), found(after).alias("b")), score)
 
 
 def char_shingles(text: Column, k: int = 5) -> Column:
@@ -212,7 +221,7 @@ RANKING_STOPWORDS = (
 
 
 def terms(text: Column, stopwords: list[str] = RANKING_STOPWORDS) -> Column:
-    found = F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text_of(text)), F.lit(WORD), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(*stopwords))
 
 

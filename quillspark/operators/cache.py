@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import hamming_similarity, simhash
@@ -13,23 +17,95 @@ def entries(rows: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
     return rows.select("id", simhash(F.col("prompt")).alias("simhash"), "model", F.md5("prompt").alias("prompt_hash"), "response", "created_at", F.lit(ttl_seconds).alias("ttl_seconds"))
 
 
+class _Latest:
+    """The newest entries of a model as they stream by, and the newest of them that answers a request."""
+
+    def __init__(self, newest: int):
+        self.marks = np.zeros(newest, np.uint64)
+        self.rows: list[tuple | None] = [None] * newest
+        self.count = 0
+
+    def add(self, mark: int, row: tuple) -> None:
+        at = self.count % len(self.rows)
+        self.marks[at], self.rows[at] = mark & (1 << 64) - 1, row
+        self.count += 1
+
+    def answer(self, mark: int, now: float, threshold: float) -> tuple[tuple, float] | None:
+        """The entry and its similarity. An entry's row begins with created_at and ttl_seconds."""
+        n = len(self.rows)
+        held = min(self.count, n)
+        alike = 1 - np.bitwise_count(self.marks[:held] ^ np.uint64(mark & (1 << 64) - 1)) / 64.0
+        for k in range(1, held + 1):
+            at = (self.count - k) % n
+            row = self.rows[at]
+            if alike[at] >= threshold and now - row[0] <= row[1]:
+                return row, float(alike[at])
+        return None
+
+
+_HIT = "request_id {kind}, id {id}, model string, created_at double, prompt_hash string, similarity double"
+
+
 def lookup(cache: DataFrame, requests: DataFrame, threshold: float = 0.95, newest: int = 200) -> DataFrame:
     """requests (request_id, prompt, model, now): request_id, hit_id, response, similarity. Among a model's `newest`
-    latest entries before the request, the latest that hasn't expired and is similar enough."""
-    asked = requests.select("request_id", F.col("model").alias("asks"), "now", simhash(F.col("prompt")).alias("wanted"))
-    met = asked.join(cache, (F.col("asks") == F.col("model")) & (F.col("created_at") <= F.col("now")))
-    latest = Window.partitionBy("request_id").orderBy(F.desc("created_at"), F.desc("id"))
-    # responses don't travel with the candidates; they are fetched for the hits
+    latest entries before the request, the latest that hasn't expired and is similar enough.
+
+    Entries and requests of a model stream by in order of time, and the last `newest` entries are held, so no request is
+    paired with older ones. Prompts and responses don't travel; responses are fetched for the hits."""
+    asked = requests.select("request_id", "model", F.col("now").cast("double").alias("at"), simhash(F.col("prompt")).alias("mark"))
     known = ["id", "model", "created_at", "prompt_hash"]
-    met = met.select("request_id", "now", "wanted", "simhash", "ttl_seconds", *known, F.row_number().over(latest).alias("place")).filter(F.col("place") <= newest)
-    alike = hamming_similarity(F.col("wanted"), F.col("simhash"))
-    met = met.withColumn("similarity", alike).filter((F.col("now") - F.col("created_at") <= F.col("ttl_seconds")) & (F.col("similarity") >= threshold))
-    best = met.groupBy("request_id").agg(F.min_by(F.struct(*known, "similarity"), "place").alias("hit")).select("request_id", "hit.*")
+    events = cache.select("model", F.col("created_at").cast("double").alias("at"), F.lit(0).alias("asks"), F.col("simhash").alias("mark"), "id", "prompt_hash", F.col("ttl_seconds").cast("double").alias("ttl"))
+    events = events.unionByName(asked.withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    kinds = {c: (cache if c == "id" else requests).schema[c].dataType.simpleString() for c in ("id", "request_id")}
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = (), _Latest(newest)
+        for batch in batches:
+            out = []
+            for m, at, asks, mark, id_, hash_, ttl, request in zip(*(batch.column(c).to_pylist() for c in ("model", "at", "asks", "mark", "id", "prompt_hash", "ttl", "request_id")), strict=True):
+                if (m,) != model:
+                    model, held = (m,), _Latest(newest)
+                if not asks:
+                    held.add(mark, (at, ttl, id_, hash_))
+                elif m is not None and at is not None and (found := held.answer(mark, at, threshold)):
+                    out.append((request, found[0][2], m, found[0][0], found[0][3], found[1]))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [batch.schema.field("request_id").type, batch.schema.field("id").type, pa.string(), pa.float64(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["request_id", *known, "similarity"])
+
+    dealt = events.filter("at is not null or asks = 1").repartition("model").sortWithinPartitions("model", "at", "asks", "id")
+    best = dealt.mapInArrow(answers, _HIT.format(kind=kinds["request_id"], id=kinds["id"]))
     fetched = best.alias("b").join(cache.select(*known, "response").alias("c"), [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in known])
     hits = fetched.groupBy("request_id").agg(F.min("b.id").alias("hit_id"), F.min("response").alias("response"), F.min("similarity").alias("similarity"))
     return asked.select("request_id").join(hits, "request_id", "left")
 
 
+def replay(requests: DataFrame, ttl_seconds: float = 3600, threshold: float = 0.95, newest: int = 200) -> DataFrame:
+    """Reading through the cache: requests (request_id, prompt, model, now, response) in order of time, where response is
+    what the model would say. Each is answered from what earlier ones left there (hit_id), or by its own response, which
+    is then kept: request_id, hit_id, response. A model's requests stream through one task, as each depends on those
+    before it; the last `newest` are held."""
+    marked = requests.select("request_id", "model", F.col("now").cast("double").alias("now"), simhash(F.col("prompt")).alias("mark"), "response")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = (), _Latest(newest)
+        for batch in batches:
+            hits, responses = [], []
+            for request, m, now, mark, response in zip(*(batch.column(c).to_pylist() for c in ("request_id", "model", "now", "mark", "response")), strict=True):
+                if (m,) != model:
+                    model, held = (m,), _Latest(newest)
+                found = held.answer(mark, now, threshold)
+                if found is None:
+                    held.add(mark, (now, ttl_seconds, request, response))
+                hits.append(found and found[0][2])
+                responses.append(found[0][3] if found else response)
+            yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array(hits, batch.schema.field("request_id").type), pa.array(responses, pa.string())], names=["request_id", "hit_id", "response"])
+
+    kind = requests.schema["request_id"].dataType.simpleString()
+    dealt = marked.filter("now is not null").repartition("model").sortWithinPartitions("model", "now", "request_id")
+    return dealt.mapInArrow(run, f"request_id {kind}, hit_id {kind}, response string")
+
+
 def append(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.unionByName(new)
 
@@ -39,6 +115,12 @@ def live(cache: DataFrame, now: float) -> DataFrame:
     return cache.filter(F.lit(now) - F.col("created_at") <= F.col("ttl_seconds"))
 
 
+def purge(cache: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """The entries that haven't expired, and one row with the number of those that have (removed)."""
+    expired = F.lit(now) - F.col("created_at") > F.col("ttl_seconds")
+    return live(cache, now), cache.agg(F.count(F.when(expired, 1)).alias("removed"))
+
+
 def stats(found: DataFrame) -> DataFrame:
     hits, n = F.count("hit_id"), F.count("*")
     return found.agg(hits.alias("hits"), (n - hits).alias("misses"), F.when(n > 0, F.round(hits / n, 4)).otherwise(0.0).alias("hit_rate"))

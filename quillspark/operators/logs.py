@@ -11,6 +11,17 @@ from quillspark.functions import arrow
 from quillspark.functions.text import first_of, join_lines, let, lines, strip, text_of
 
 
+#: What an install log keeps and skips, an entry of a directory, a compiler's error, a build's errors,
+#: warnings and their kinds, and the rule that a linter's line names.
+INSTALL_KEEPS = r"(?i)error|warn|successfully installed|added \d+|updated \d+|removed \d+|packages? (installed|updated)|requirement already|collecting |^\+ |done\."
+INSTALL_SKIPS = r"(?i)^\s*[█▓░▒]+|^\s*\d+%|^npm http|node_modules"
+DIRECTORY_ENTRY = r"^([d\-lbcsp][rwx\-]{9})\s+\d+\s+\S+\s+\S+\s+(\d+)\s+\S+\s+\S+\s+\S+\s+(.+)$"
+COMPILER_ERROR = r"^(.+\.tsx?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.+)$"
+BUILD_ERROR, BUILD_WARNING = r"\berror\b|\bERROR\b|Error:", r"(?i)\bwarning\b|\bWARN\b"
+WARNING_KIND = r"(?i)(?:warning|warn)[:\s]+([A-Za-z][\w\-/]+)"
+LINT_RULE = r"['\"]([a-z][\w\-]{2,})['\"]|\(([A-Z]\d+)\)|[ \t]([a-z][\w\-]{3,})[ \t]*$"
+
+
 def _by_lines(fn):
     """A filter of a text, given the text and its lines, both computed once."""
 
@@ -36,9 +47,7 @@ def pytest_output(output: Column, rows: Column) -> Column:
 
 
 def install_output(output: Column) -> Column:
-    keep = r"(?i)error|warn|successfully installed|added \d+|updated \d+|removed \d+|packages? (installed|updated)|requirement already|collecting |^\+ |done\."
-    skip = r"(?i)^\s*[█▓░▒]+|^\s*\d+%|^npm http|node_modules"
-    return _kept(output, F.filter(lines(output), lambda x: x.rlike(keep) & ~x.rlike(skip)), 3)
+    return _kept(output, F.filter(lines(output), lambda x: x.rlike(INSTALL_KEEPS) & ~x.rlike(INSTALL_SKIPS)), 3)
 
 
 @_by_lines
@@ -50,7 +59,7 @@ def git_log_output(output: Column, rows: Column) -> Column:
 
 
 def directory_output(output: Column) -> Column:
-    entry = r"^([d\-lbcsp][rwx\-]{9})\s+\d+\s+\S+\s+\S+\s+(\d+)\s+\S+\s+\S+\s+\S+\s+(.+)$"
+    entry = DIRECTORY_ENTRY
 
     def short(x: Column) -> Column:
         name, size = F.regexp_extract(x, entry, 3), F.regexp_extract(x, entry, 2)
@@ -64,7 +73,7 @@ def directory_output(output: Column) -> Column:
 @_by_lines
 def tsc_output(output: Column, rows: Column) -> Column:
     """Compiler errors by file, three of each; five others."""
-    entry = r"^(.+\.tsx?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.+)$"
+    entry = COMPILER_ERROR
     errors = F.filter(rows, lambda x: x.rlike(entry) & (F.regexp_extract(x, entry, 4) == "error"))
     other = F.filter(rows, lambda x: ~x.rlike(entry) & x.rlike(r"(?i)\berror\b"))
     files = F.array_sort(F.array_distinct(F.transform(errors, lambda x: F.regexp_extract(x, entry, 1))))
@@ -83,10 +92,10 @@ def tsc_output(output: Column, rows: Column) -> Column:
 @_by_lines
 def build_output(output: Column, rows: Column) -> Column:
     """Twenty errors, warnings counted by kind, the last five lines."""
-    is_error = lambda x: x.rlike(r"\berror\b|\bERROR\b|Error:")
+    is_error = lambda x: x.rlike(BUILD_ERROR)
     errors = F.filter(rows, is_error)
-    warned = F.filter(rows, lambda x: ~is_error(x) & x.rlike(r"(?i)\bwarning\b|\bWARN\b"))
-    kind = r"(?i)(?:warning|warn)[:\s]+([A-Za-z][\w\-/]+)"
+    warned = F.filter(rows, lambda x: ~is_error(x) & x.rlike(BUILD_WARNING))
+    kind = WARNING_KIND
     kinds = F.transform(warned, lambda x: F.when(x.rlike(kind), F.regexp_extract(x, kind, 1)).otherwise("general"))
     counted = let(kinds, lambda ks: F.transform(F.array_sort(F.array_distinct(ks)), lambda k: F.concat(k, F.lit(":"), F.size(F.filter(ks, lambda y: y == k)).cast("string"))))
     tail = F.slice(rows, F.greatest(F.size(rows) - 4, F.lit(1)), 5)
@@ -112,7 +121,7 @@ def ruff_output(output: Column, rows: Column) -> Column:
 
 @_by_lines
 def lint_output(output: Column, rows: Column) -> Column:
-    rule = r"['\"]([a-z][\w\-]{2,})['\"]|\(([A-Z]\d+)\)|[ \t]([a-z][\w\-]{3,})[ \t]*$"
+    rule = LINT_RULE
 
     def of(x: Column) -> Column:
         named = F.concat(*[F.regexp_extract(x, rule, k) for k in (1, 2, 3)])
@@ -169,17 +178,31 @@ def kind_of(command: Column, output: Column) -> Column:
     return out.when(output.contains("Traceback (most recent call last)"), "traceback").otherwise("other")
 
 
+def needs_python(command: Column, output: Column) -> Column:
+    """eslint or traceback, if the command calls for a filter beyond Column expressions; else null."""
+    is_eslint = text_of(command).rlike(r"\beslint\b")
+    return let(kind_of(command, output), lambda k: F.when((k == "lint") & is_eslint, "eslint").when(k == "traceback", "traceback"))
+
+
+def structural_output(command: Column, output: Column) -> Column:
+    """The filter that the command calls for, as far as it is a Column expression."""
+
+    def of(x: Column) -> Column:
+        c, t = x.command, x.text
+        build = F.when(c.rlike(r"\btsc\b"), tsc_output(t)).otherwise(build_output(t))
+        lint = F.when(c.rlike(r"\bruff\b") & ~c.rlike(r"\beslint\b"), ruff_output(t)).otherwise(lint_output(t))
+        branches = {"pytest": pytest_output(t), "jest": jest_output(t), "install": install_output(t), "git_log": git_log_output(t), "directory": directory_output(t), "build": build, "lint": lint}
+        out = F
+        for name, filtered in branches.items():
+            out = out.when(x.kind == name, filtered)
+        return out.otherwise(t)
+
+    command, output = text_of(command), text_of(output)
+    return let(F.struct(command.alias("command"), output.alias("text"), kind_of(command, output).alias("kind")), of)
+
+
 def filter_output(command: Column, output: Column) -> Column:
-    """The filter that the command calls for."""
-    output, c = text_of(output), text_of(command)
-    eslint = F.when(c.rlike(r"\beslint\b"), F.coalesce(arrow.eslint_report(output), lint_output(output)))
-    lint = eslint.when(c.rlike(r"\bruff\b"), ruff_output(output)).otherwise(lint_output(output))
-    build = F.when(c.rlike(r"\btsc\b"), tsc_output(output)).otherwise(build_output(output))
-    branches = {
-        "pytest": pytest_output(output), "jest": jest_output(output), "install": install_output(output), "git_log": git_log_output(output),
-        "directory": directory_output(output), "build": build, "lint": lint, "traceback": arrow.short_tracebacks(output),
-    }
-    kind, out = kind_of(c, output), F.when(F.lit(False), "")
-    for name, filtered in branches.items():
-        out = out.when(kind == name, filtered)
-    return out.otherwise(output)
+    """The filter that the command calls for. A report of ESLint is read as JSON if it is."""
+    filtered, kind = structural_output(command, output), needs_python(command, output)
+    report = F.coalesce(arrow.eslint_report(text_of(output)), filtered)
+    return F.when(kind == "eslint", report).when(kind == "traceback", arrow.short_tracebacks(text_of(output))).otherwise(filtered)

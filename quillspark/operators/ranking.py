@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +31,31 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
 
 def select_context(chunks: DataFrame, queries: DataFrame, max_tokens: int = 2000, min_score: float = 0.0, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Chunks in order of score that still fit the budget, given in their own order: query_id, set_id, pos, text, score.
-    A blank query selects everything, whatever the budget."""
-    scored = bm25_scores(chunks, queries, k1, b).join(chunks.select("set_id", "pos", "text"), ["set_id", "pos"])
+    A blank query selects everything, whatever the budget.
+
+    A query's chunks stream by in order of score with their token counts alone; what was taken is one number. Chunks
+    that can't fit or score too little go before they are sorted, and texts are looked up for the chosen ones."""
     blank = queries.select("query_id", "set_id", (F.size(terms(F.col("query"))) == 0).alias("blank"))
-    scored = scored.join(blank, ["query_id", "set_id"])
-    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "pos", token_count(F.col("text")).alias("tokens"))))
-    ranked = scored.groupBy("query_id", "set_id").agg(best_first.alias("ranked"), F.max("blank").alias("blank"))
-    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
-
-    def take(state, chunk):
-        fits = (-chunk.worse >= min_score) & (state.used + chunk.tokens <= max_tokens)
-        return F.when(fits, F.struct((state.used + chunk.tokens).alias("used"), F.array_append(state.kept, chunk.pos.cast("long")).alias("kept"))).otherwise(state)
-
-    chosen = F.when(F.col("blank"), F.transform("ranked", lambda c: c.pos.cast("long"))).otherwise(F.aggregate("ranked", none, take).kept)
-    picked = ranked.select("query_id", "set_id", F.explode(chosen).alias("pos"))
-    return picked.join(scored.select("query_id", "set_id", "pos", "text", "score"), ["query_id", "set_id", "pos"])
+    sized = chunks.select("set_id", "pos", token_count(F.col("text")).alias("tokens"))
+    scored = bm25_scores(chunks, queries, k1, b).join(sized, ["set_id", "pos"]).join(blank, ["query_id", "set_id"])
+    scored = scored.filter(F.col("blank") | ((F.col("score") >= min_score) & (F.col("tokens") <= max_tokens)))
+    columns = scored.select("query_id", "set_id", "pos", "score")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, used = (), 0
+        for batch in batches:
+            chosen = []
+            for i, (q, s, tokens, everything) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("query_id", "set_id", "tokens", "blank")), strict=True)):
+                if (q, s) != query:
+                    query, used = (q, s), 0
+                if everything or (used < max_tokens and used + tokens <= max_tokens):
+                    used += 0 if everything else tokens
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int32())).select(columns.columns)
+
+    order = scored.repartition("query_id", "set_id").sortWithinPartitions("query_id", "set_id", F.desc("score"), "pos")
+    picked = order.mapInArrow(take, columns.schema)
+    return picked.join(chunks.select("set_id", "pos", "text"), ["set_id", "pos"]).select("query_id", "set_id", "pos", "text", "score")
 
 
 def split_chunks(raw: DataFrame, separator: str = "---") -> DataFrame:

@@ -83,6 +83,10 @@ def trim_openapi(schemas: DataFrame, top_k: int = 10) -> DataFrame:
     return schemas.join(picks, "schema_id", "left").select("schema_id", trim("schema", "picks").alias("trimmed"))
 
 
+#: Fixed value: a field that is marked as deprecated, with its line.
+DEPRECATED_FIELD = r"[ \t]+\w[\w!:\[\] ]*@deprecated[^\n]*\n?"
+
+
 def trim_graphql(sdl: Column, most: int = 80) -> Column:
     """Descriptions in triple quotes are cut to `most` characters; deprecated fields go."""
     t = text_of(sdl)
@@ -95,12 +99,53 @@ def trim_graphql(sdl: Column, most: int = 80) -> Column:
         return F.when(F.length(bare) > most, F.concat(F.lit('"""'), F.substring(bare, 1, most), F.lit('…"""'))).otherwise(d)
 
     notes = F.array_append(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), cut), F.lit(""))
-    return F.regexp_replace(F.array_join(F.zip_with(between, notes, lambda a, b: F.concat(a, b)), ""), r"(?m)^[^\n]*@deprecated[^\n]*\n?", "")
+    return F.regexp_replace(F.array_join(F.zip_with(between, notes, lambda a, b: F.concat(a, b)), ""), DEPRECATED_FIELD, "")
 
 
 def schema_kind(text: Column) -> Column:
+    """openapi (JSON), yaml, graphql or other."""
     t = F.regexp_replace(text_of(text), r"^\s+|\s+$", "")
-    is_json = t.startswith("{") & t.rlike(r'"(paths|openapi|swagger)"\s*:')
-    is_yaml = t.rlike(r"^(openapi|swagger|paths)\s*:")
-    is_sdl = t.rlike(r"\b(type|query|mutation|schema|input|interface|enum)\b")
-    return F.when(is_json, "openapi").when(is_yaml, "yaml").when(is_sdl, "graphql").otherwise("other")
+    # top-level keys; null where the text isn't a JSON object
+    keys = F.json_object_keys(F.when(t.startswith("{"), t))
+    is_json = F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ("paths", "openapi", "swagger")])), F.lit(False))
+    is_sdl = t.rlike(r"(?i)\btype\s+\w+\s*\{|\bquery\b|\bmutation\b|\bschema\b\s*\{")
+    return F.when(is_json, "openapi").when(t.rlike("(?i)^(openapi|swagger):"), "yaml").when(is_sdl, "graphql").otherwise("other")
+
+
+@F.pandas_udf(StringType())
+def _yaml_to_json(s: pd.Series) -> pd.Series:
+    """Null where the text isn't a YAML object, or no reader of YAML is installed."""
+    try:
+        import yaml
+    except ImportError:
+        return pd.Series([None] * len(s), dtype=object)
+
+    def one(t: str) -> str | None:
+        try:
+            data = yaml.safe_load(t)
+        except yaml.YAMLError:
+            return None
+        return json.dumps(data, default=str) if isinstance(data, dict) else None
+
+    return s.map(one)
+
+
+@F.pandas_udf(StringType())
+def _json_to_yaml(s: pd.Series) -> pd.Series:
+    import yaml
+
+    return s.map(lambda t: yaml.dump(json.loads(t), allow_unicode=True, sort_keys=False))
+
+
+def trim_schema(schemas: DataFrame, top_k: int = 10) -> DataFrame:
+    """schemas (schema_id, schema, task), told by their text: schema_id, trimmed. OpenAPI as JSON or YAML keeps its best
+    operations, GraphQL loses long descriptions and deprecated fields, anything else stays as it is."""
+    told = schemas.select("schema_id", "schema", "task", schema_kind(F.col("schema")).alias("kind"))
+    bare = F.regexp_replace(text_of(F.col("schema")), r"^\s+|\s+$", "")
+    read_in = told.filter("kind = 'yaml'").withColumn("read", _yaml_to_json(bare))
+    as_yaml = trim_openapi(read_in.filter("read is not null").select("schema_id", F.col("read").alias("schema"), "task"), top_k)
+    out = trim_openapi(told.filter("kind = 'openapi'").drop("kind"), top_k)
+    out = out.unionByName(as_yaml.select("schema_id", _json_to_yaml("trimmed").alias("trimmed")))
+    out = out.unionByName(told.filter("kind = 'graphql'").select("schema_id", trim_graphql(bare).alias("trimmed")))
+    out = out.unionByName(told.filter("kind = 'other'").select("schema_id", F.col("schema").alias("trimmed")))
+    return out.unionByName(read_in.filter("read is null").select("schema_id", F.col("schema").alias("trimmed")))

@@ -26,17 +26,31 @@ def track_budget(turns: DataFrame, window_tokens: int = 180_000, alert_at: float
     out = out.withColumn("fill", used / F.lit(float(window_tokens)))
     high = (F.col("fill") >= alert_at).cast("int")
     out = out.withColumn("alert", (high == 1) & (F.sum(high).over(so_far) == 1))
-    return out.withColumn("status", status_line(F.col("fill"), used))
+    label = F.when(F.col("input_tokens") > 0, "context").otherwise("output tokens")
+    return out.withColumn("status", F.when(F.col("alert"), alert_line(F.col("fill"))).otherwise(status_line(F.col("turns"), used, F.col("fill"), label, window_tokens)))
 
 
 def _short(n: Column) -> Column:
     return F.when(n >= 1000, F.format_string("%.1fk", n / F.lit(1000.0))).otherwise(n.cast("string"))
 
 
-def status_line(fill: Column, used: Column) -> Column:
-    """Null below 15 %; above, the fill with a hint from 40, 60 and 80 % on."""
-    hint = F.when(fill >= 0.8, " - compact now").when(fill >= 0.6, " - compact soon").when(fill >= 0.4, " - be brief").otherwise("")
-    return F.when(fill >= 0.15, F.concat(F.format_string("%d%% ", F.floor(fill * 100)), _short(used), F.lit(" tokens"), hint))
+#: Hints by least fill, and the alert.
+HINTS = ((0.8, " — ⚠ run /compact now"), (0.6, " — consider /compact"), (0.4, " — approaching mid-session"))
+ALERT = "IMPORTANT: Context is at %d%%. You must call /compact before taking any other action to prevent hitting the context limit."
+
+
+def alert_line(fill: Column) -> Column:
+    return F.format_string(ALERT, F.least(F.lit(100), F.floor(fill * 100).cast("int")))
+
+
+def status_line(turns: Column, used: Column, fill: Column, label: Column, window_tokens: int, show_at: float = 0.15) -> Column:
+    """Null below show_at; above, turns, what is used and what remains, with a hint."""
+    hint = F.when(F.lit(False), "")
+    for least, text in HINTS:
+        hint = hint.when(fill >= least, text)
+    left = F.greatest(F.lit(window_tokens) - used, F.lit(0))
+    line = F.concat(F.lit("Turn "), turns.cast("string"), F.lit(" | ~"), _short(used), F.lit(" "), label, F.lit(" this session | ~"), _short(left), F.lit(" remaining"), hint.otherwise(""))
+    return F.when(fill >= show_at, line)
 
 
 def once_per_session(events: DataFrame) -> DataFrame:
@@ -93,13 +107,21 @@ def tool_profile(tool: Column, fill: Column, profiles: dict = PROFILES) -> Colum
     )
 
 
+#: By least fill, the techniques for a user's prompt and the least tokens.
+PROMPT_PROFILES = (
+    (0.7, ["whitespace", "deduplication", "format", "semantic_dedup"], 50),
+    (0.4, ["whitespace", "deduplication", "semantic_dedup"], 75),
+    (0.0, ["whitespace", "semantic_dedup"], 100),
+)
+
+
 def prompt_profile(fill: Column) -> Column:
     """{techniques, min_tokens} for a user's prompt at a fill."""
-    some = lambda n: F.array(*[F.lit(x) for x in ["whitespace", "deduplication", "semantic_dedup", "format"][:n]])
-    return F.struct(
-        F.when(fill < 0.4, some(2)).when(fill < 0.7, some(3)).otherwise(some(4)).alias("techniques"),
-        F.when(fill < 0.4, 100).when(fill < 0.7, 75).otherwise(50).alias("min_tokens"),
-    )
+    strings = lambda v: F.array(*[F.lit(x) for x in v])
+    techniques = least = F
+    for at, some, tokens in PROMPT_PROFILES:
+        techniques, least = techniques.when(fill >= at, strings(some)), least.when(fill >= at, tokens)
+    return F.struct(techniques.alias("techniques"), least.alias("min_tokens"))
 
 
 #: Pattern, replacement and least fill; the first that changes the command counts.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillspark.functions import arrow
-from quillspark.functions.text import deduplicate_blocks, normalize_whitespace, outside_fences, quality_score, ratio, strip_markup, text_of, token_count
+from quillspark.functions.text import deduplicate_blocks, normalize_whitespace, quality_score, ratio, text_of, token_count
 
 TECHNIQUES = ("whitespace", "deduplication", "format", "semantic_dedup")
 
@@ -26,22 +26,11 @@ class Config:
     unit: str = "sentence"
     language: str = "auto"
     backend: str = "approx"
-
-
-def optimize_format(text: Column, minify: bool = True) -> Column:
-    """JSON without spaces; else markup and entities outside fences, and JSON paragraphs. A text with a numeric entity
-    beyond the code points stays as it is."""
-
-    def prose(t: Column) -> Column:
-        t = strip_markup(t, arrow.numeric_entities)
-        return F.when(t.rlike(r"(?m)^\s*[\{\[]"), arrow.minify_paragraphs(t)).otherwise(t) if minify else t
-
-    # Arrow functions take whole columns, not items of arrays: texts without fences (nearly all) are done at once
-    text = text_of(text)
-    whole = prose(text)
-    parts = outside_fences(text, lambda t: strip_markup(t))
-    out = F.when(text.contains("```"), parts).otherwise(F.coalesce(whole, text))
-    return F.when(text.rlike(r"^\s*[\{\[]"), F.coalesce(arrow.minify_json(text), out)).otherwise(out) if minify else out
+    rag_min_score: float = 0.0
+    rag_max_tokens: int = 2000
+    keep_recent: int = 5
+    bm25_k1: float = 1.5
+    bm25_b: float = 0.75
 
 
 @dataclass(frozen=True)
@@ -99,7 +88,7 @@ def build(config: Config = Config()) -> Pipeline:
     stages = {
         "whitespace": Stage("whitespace", lambda c: normalize_whitespace(c, config.indent_spaces)),
         "deduplication": Stage("deduplication", lambda c: deduplicate_blocks(c, config.min_block_tokens)),
-        "format": Stage("format", lambda c: optimize_format(c, config.minify_json)),
+        "format": Stage("format", lambda c: arrow.optimize_format(c, config.minify_json)),
         "semantic_dedup": Stage("semantic_dedup", lambda c: arrow.semantic_dedup(c, config.similarity_threshold, config.unit, config.language), False),
     }
     chosen = config.techniques or TECHNIQUES
@@ -148,23 +137,33 @@ def estimate_cost(docs: DataFrame, model_col: str = "model", before: str = "orig
 
 
 def compress_tool_events(events: DataFrame, fill_col: str = "fill") -> DataFrame:
-    """events (tool_name, command, output, fill): filtered, shortened and compressed by the tool's profile; the result
-    is shown only where it is shorter than the output."""
-    from quillspark.functions.text import truncate_code_blocks
-    from quillspark.operators.logs import filter_output, grep_output
-    from quillspark.operators.session import PROFILES, tool_profile
-
-    out = events.withColumn("profile", tool_profile(F.col("tool_name"), F.col(fill_col)))
-    first = F.when(F.col("tool_name") == "Bash", filter_output(F.col("command"), F.col("output"))).when(F.col("tool_name") == "Grep", grep_output(text_of(F.col("output")))).otherwise(text_of(F.col("output")))
-    out = out.withColumn("__t", first).withColumn("__t", truncate_code_blocks(F.col("__t"), F.col("profile.max_code_block_lines")))
-    # an Arrow step is evaluated once, so the optimiser doesn't write the filters out wherever their result is used
-    out = out.withColumn("__t", arrow.unchanged(F.col("__t")))
-    enough = token_count(F.col("__t")) >= F.col("profile.min_tokens")
-    out = out.withColumn("__u", F.col("__t"))
-    for stage in build().stages:
-        out = out.withColumn("__u", F.when(enough & F.array_contains("profile.techniques", stage.name), stage.apply(F.col("__u"))).otherwise(F.col("__u")))
-    better = F.when(token_count(F.col("__u")) < token_count(F.col("__t")), F.col("__u")).otherwise(F.col("__t"))
-    shown = F.when(F.col("tool_name").isin(*PROFILES) & (token_count(better) < token_count(F.col("output"))), better)
-    return out.select(*events.columns, shown.alias("shown"))
-
-
+    """events (tool_name, command, output, fill and, for reads, session_id, path, seq): shown is the output filtered,
+    shortened and compressed by the tool's profile, or null where that isn't shorter. A read of a file that the session
+    has read before shows that it is unchanged, or the difference if that is short."""
+    from quillspark.operators.logs import grep_output, needs_python, structural_output
+    from quillspark.operators.session import PROFILES, read_deltas, tool_profile
+
+    reads_known = {"session_id", "path", "seq"} <= set(events.columns)
+    profile = tool_profile(F.col("tool_name"), F.col(fill_col))
+    is_command = F.col("tool_name") == "Bash"
+    kind = F.when(is_command, needs_python(F.col("command"), text_of(F.col("output"))))
+    filtered = F.when(is_command, structural_output(F.col("command"), F.col("output"))).when(F.col("tool_name") == "Grep", grep_output(text_of(F.col("output")))).otherwise(text_of(F.col("output")))
+    out = events.filter(F.col("tool_name").isin(*PROFILES)).withColumn("__p", profile)
+    out = out.withColumns({"__f": filtered, "__k": kind})
+    # named twice, the filters' result stays a column of its own: inside the Arrow step their nested lambdas could not run
+    short = arrow.shorter(F.col("__f"), F.col("output"), F.col("__k"), F.col("__p.techniques"), F.col("__p.min_tokens"), F.col("__p.max_code_block_lines"))
+    out = out.withColumn("shown", F.when(F.col("__f").isNotNull(), short)).drop("__p", "__f", "__k")
+    if reads_known:
+        known = read_deltas(events.filter("tool_name = 'Read' and path <> ''").select("session_id", "path", "seq", F.col("output").alias("content")))
+        known = known.filter("kind in ('unchanged', 'diff')").select(*[F.col(c).alias(f"__{c}") for c in ("session_id", "path", "seq")], F.col("shown").alias("__shown"))
+        same = F.lit(True)
+        for c in ("session_id", "path", "seq"):
+            same &= F.col(c) == F.col(f"__{c}")
+        out = out.join(known, same & (F.col("tool_name") == "Read"), "left").withColumn("shown", F.coalesce("__shown", "shown"))
+    others = events.filter(~F.coalesce(F.col("tool_name").isin(*PROFILES), F.lit(False))).withColumn("shown", F.lit(None).cast("string"))
+    return out.select(*events.columns, "shown").unionByName(others)
+
+
+def hook_response(shown: Column) -> Column:
+    """What a hook answers with, as JSON; null where there is nothing to change."""
+    return F.when(shown.isNotNull(), F.to_json(F.struct(F.struct(shown.alias("updatedToolOutput")).alias("hookSpecificOutput"))))

@@ -5,34 +5,15 @@ The tables' texts hold no blank lines, tabs or fences, so queries derive such in
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrow, text as T
 from quillspark.operators import cache, conversation, logs, ranking, schemas, session
 from quillspark.plans import pipeline
+from quillspark.queries.base import TOKENS, WORDS, query
 from quillspark.sources.readers import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def note(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return note
-
-
-#: SQL for the approximate token count of a text, and for its words.
-WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
-TOKENS = "CAST(ceil(len(" + WORDS + ") * 1.3::DOUBLE) AS BIGINT)"
-
 MESSY = "replace(replace(text, ', ', ',   '), chr(10), '  ' || chr(10) || chr(10) || chr(10) || chr(9))"
 
 
@@ -79,7 +60,7 @@ def n4e_entities(spark, sf):
 
 @query("n2_minify_json", "SELECT event_id, replace(props, ': ', ':') AS text FROM events")
 def n2_minify_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", pipeline.optimize_format(F.col("props")).alias("text"))
+    return table(spark, sf, "events").select("event_id", arrow.optimize_format(F.col("props")).alias("text"))
 
 
 @query("n6_truncate_code", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,10 +17,15 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of {role, content}: conv_id (the file), turn, role, text."""
+    """JSON arrays of {role, content}: conv_id (the file), turn, role, text, blocks. Content is a string (text), or an
+    array of blocks (blocks, with its text blocks joined by spaces as text); other fields of a block are left out."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("conv_id"), "value")
-    turns = F.from_json("value", "array<struct<role:string,content:string>>")
-    return whole.select("conv_id", F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", F.col("m.content").alias("text"))
+    turns = whole.select("conv_id", F.posexplode(F.from_json("value", "array<struct<role:string,content:string>>")).alias("turn", "m"))
+    # an array of blocks is read as its JSON
+    blocks = F.from_json("m.content", "array<struct<type:string,text:string,url:string>>")
+    blocks = F.when(F.col("m.content").startswith("["), blocks)
+    said = F.array_join(F.transform(F.filter(blocks, lambda b: b.type == "text"), lambda b: F.coalesce(b.text, F.lit(""))), " ")
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", F.coalesce(said, "m.content").alias("text"), blocks.alias("blocks"))
 
 
 def read_tool_events(raw: DataFrame) -> DataFrame:
@@ -51,3 +57,38 @@ def join_chunks(picked: DataFrame, separator: str = "---") -> DataFrame:
 
 def write_texts(texts: DataFrame, path: str, column: str = "text") -> None:
     texts.select(column).write.mode("overwrite").text(path)
+
+
+#: What is kept of a session.
+SNAPSHOT = "session_key string, output_tokens long, input_tokens long, turns long, fill_fraction double, turn_number long"
+
+
+def write_sessions(snapshots: DataFrame, path: str) -> None:
+    """One JSON object a session: session_key and its counters."""
+    names = [f.split()[0] for f in SNAPSHOT.split(", ")]
+    snapshots.select(*names).write.mode("overwrite").json(path)
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots of sessions; counters that lack or can't be read are 0, lines without a session go."""
+    held = spark.read.schema(SNAPSHOT).json(path).filter("session_key is not null")
+    return held.fillna(0)
+
+
+def read_profiles(spark: SparkSession, path: str | None) -> dict[str, tuple[list[str], int, int]]:
+    """Profiles of tools, with those of a JSON file {tool: {techniques, min_tokens, max_code_block_lines}} over the
+    defaults. Without a file, or if it can't be read, the defaults. As large as the number of tools."""
+    from quillspark.operators.session import OTHER_TOOL, PROFILES
+
+    known = dict(PROFILES)
+    if path is None:
+        return known
+    kind = "map<string,struct<techniques:array<string>,min_tokens:int,max_code_block_lines:int>>"
+    try:
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("tool", "p")).collect()
+    except AnalysisException:  # no such file
+        return known
+    for tool, p in rows:
+        given = (p["techniques"], p["min_tokens"], p["max_code_block_lines"]) if p else (None, None, None)
+        known[tool] = tuple(o if g is None else g for g, o in zip(given, OTHER_TOOL, strict=True))
+    return known
