@@ -39,7 +39,7 @@ def select_context(chunks: DataFrame, queries: DataFrame, max_tokens: int = 2000
     sized = chunks.select("set_id", "pos", token_count(F.col("text")).alias("tokens"))
     scored = bm25_scores(chunks, queries, k1, b).join(sized, ["set_id", "pos"]).join(blank, ["query_id", "set_id"])
     scored = scored.filter(F.col("blank") | ((F.col("score") >= min_score) & (F.col("tokens") <= max_tokens)))
-    columns = scored.select("query_id", "set_id", "pos", "score")
+    names = ["query_id", "set_id", "pos", "score"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, used = (), 0
@@ -51,10 +51,10 @@ def select_context(chunks: DataFrame, queries: DataFrame, max_tokens: int = 2000
                 if everything or (used < max_tokens and used + tokens <= max_tokens):
                     used += 0 if everything else tokens
                     chosen.append(i)
-            yield batch.take(pa.array(chosen, pa.int32())).select(columns.columns)
+            yield batch.take(pa.array(chosen, pa.int32())).select(names)
 
     order = scored.repartition("query_id", "set_id").sortWithinPartitions("query_id", "set_id", F.desc("score"), "pos")
-    picked = order.mapInArrow(take, columns.schema)
+    picked = order.mapInArrow(take, scored.select(*names).schema)
     return picked.join(chunks.select("set_id", "pos", "text"), ["set_id", "pos"]).select("query_id", "set_id", "pos", "text", "score")
 
 

@@ -74,8 +74,9 @@ def trim_openapi(schemas: DataFrame, top_k: int = 10) -> DataFrame:
             out["paths"] = {}
             for p in () if chosen is None else chosen:
                 out["paths"].setdefault(p["path"], {})[p["method"]] = _strip(data["paths"][p["path"]][p["method"]])
-            if isinstance(data.get("components"), dict):
-                out["components"] = {a: {k: v for k, v in b.items() if not k.startswith("x-")} for a, b in data["components"].items() if isinstance(b, dict)}
+            if data.get("components"):
+                bare = lambda part: {k: v for k, v in part.items() if not k.startswith("x-")}
+                out["components"] = {a: {name: bare(c) for name, c in b.items() if isinstance(c, dict)} for a, b in data["components"].items() if isinstance(b, dict)}
             return json.dumps(out, indent=2)
 
         return pd.Series([one(s, p) for s, p in zip(schema, picks, strict=True)])

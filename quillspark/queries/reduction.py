@@ -88,20 +88,6 @@ def l5_char_shingles(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.size(T.char_shingles(F.col("text"))).cast("long").alias("n"))
 
 
-@query("j4_semantic_dedup")
-def j4_semantic_dedup(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", arrow.semantic_dedup(F.col("text")).alias("text"))
-
-
-@query("j1_minhash_estimate")
-def j1_minhash_estimate(spark, sf):
-    d = table(spark, sf, "benchmark").select("item_id", T.char_shingles(F.col("text")).alias("s"))
-    d = d.select("item_id", "s", T.minhash(F.col("s")).alias("m"))
-    before = Window.orderBy("item_id")
-    d = d.withColumns({"s0": F.lag("s").over(before), "m0": F.lag("m").over(before)}).filter("s0 is not null")
-    return d.select("item_id", T.minhash_similarity(F.col("m"), F.col("m0")).alias("estimate"), T.jaccard(F.col("s"), F.col("s0")).alias("exact"))
-
-
 @query("j7_simhash", f"""
 WITH w AS (SELECT item_id, {WORDS.format('lower(text)')} AS w FROM benchmark),
 sh AS (SELECT item_id, unnest(list_transform(range(0, greatest(len(w) - 3, 0) + 1), lambda i: array_to_string(w[i+1:i+3], ' '))) AS s FROM w),
@@ -120,7 +106,7 @@ def m_token_metrics(spark, sf):
 
 
 @query("m6_quality", f"""
-WITH w AS (SELECT doc_id, list_distinct({WORDS.format('lower(text)')}) AS a, list_distinct({WORDS.format("lower(left(text, CAST(length(text) // 2 AS BIGINT)))")}) AS b FROM documents)
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower(left(text, CAST(length(text) // 2 AS BIGINT))), '[\\p{{L}}\\p{{N}}_]+')) AS b FROM documents)
 SELECT doc_id, CASE WHEN len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END AS score FROM w""")
 def m6_quality(spark, sf):
     half = F.expr("left(text, cast(floor(length(text) / 2) as int))")
@@ -137,12 +123,12 @@ def m7_message_counts(spark, sf):
 @query("m9_cost", f"""
 WITH n AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini' ELSE 'unknown' END AS model, {TOKENS.format('text')} AS a, {TOKENS.format("replace(text, 'the ', '')")} AS b FROM documents),
 r AS (SELECT *, CASE model WHEN 'gpt-4o' THEN 2.5::DOUBLE WHEN 'gpt-4o-mini' THEN 0.15::DOUBLE ELSE 3.0::DOUBLE END / 1e6::DOUBLE AS rate FROM n)
-SELECT doc_id, a * rate AS input_cost, b * rate AS compressed_cost, a * rate - b * rate AS savings FROM r""")
+SELECT doc_id, a * rate AS input_cost, b * rate AS compressed_cost, a * rate - b * rate AS savings, CASE WHEN a * rate = 0 THEN 0.0::DOUBLE ELSE (a * rate - b * rate) / (a * rate) * 100 END AS savings_pct FROM r""")
 def m9_cost(spark, sf):
     t = F.col("text")
     model = F.when(F.col("doc_id") % 3 == 0, "gpt-4o").when(F.col("doc_id") % 3 == 1, "gpt-4o-mini").otherwise("unknown")
     d = table(spark, sf, "documents").select("doc_id", model.alias("model"), T.token_count(t).alias("original_tokens"), T.token_count(F.replace(t, F.lit("the "), F.lit(""))).alias("compressed_tokens"))
-    return pipeline.estimate_cost(d).select("doc_id", "input_cost", "compressed_cost", "savings")
+    return pipeline.estimate_cost(d).select("doc_id", "input_cost", "compressed_cost", "savings", "savings_pct")
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.RANKING_STOPWORDS)
@@ -168,31 +154,6 @@ def _contexts(spark, sf):
     return chunks, asked
 
 
-@query("r2_select_context")
-def r2_select_context(spark, sf):
-    return ranking.select_context(*_contexts(spark, sf), 2000).select("query_id", "pos", F.round("score", 6).alias("score"))
-
-
-@query("s3_split_chunks", """
-WITH p AS (SELECT source AS set_id, string_split(string_agg(text, '---' ORDER BY doc_id), '---') AS parts FROM documents GROUP BY 1),
-f AS (SELECT set_id, list_filter(list_transform(parts, lambda p: trim(p, ' ' || chr(10) || chr(9) || chr(13))), lambda p: p <> '') AS parts FROM p)
-SELECT set_id, CAST(unnest(range(len(parts))) AS INTEGER) AS pos, unnest(parts) AS text FROM f""")
-def s3_split_chunks(spark, sf):
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.text), "---")
-    return ranking.split_chunks(table(spark, sf, "documents").groupBy(F.col("source").alias("set_id")).agg(whole.alias("text")))
-
-
-@query("c1_compress_history")
-def c1_compress_history(spark, sf):
-    return conversation.compress_history(_repeating(spark, sf), 2)
-
-
-def _repeating(spark, sf):
-    turns = table(spark, sf, "conversations")
-    opening = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"))
-    return turns.join(opening, "conv_id").select("conv_id", "turn", "role", F.when(F.col("turn") > 0, F.concat_ws("\n", "opening", "text")).otherwise(F.col("text")).alias("text"))
-
-
 @query("c1_recent_turns", """
 SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2""")
 def c1_recent_turns(spark, sf):
@@ -202,11 +163,6 @@ def c1_recent_turns(spark, sf):
     return kept.withColumn("n", F.row_number().over(newest)).filter("n <= 2").drop("n")
 
 
-@query("c4_summaries")
-def c4_summaries(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", conversation.summary(F.col("text"), 3).alias("text"))
-
-
 @query("c7_request_parts", """
 WITH p AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system') AS s, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system') AS r FROM conversations GROUP BY 1)
 SELECT conv_id, coalesce(s, '') AS system, CASE WHEN coalesce(s, '') = '' THEN coalesce(r, '') ELSE s || chr(10) || coalesce(r, '') END AS cache_text FROM p""")
@@ -214,11 +170,6 @@ def c7_request_parts(spark, sf):
     return conversation.request_parts(table(spark, sf, "conversations"))
 
 
-@query("h1_cache_lookup")
-def h1_cache_lookup(spark, sf):
-    return cache.lookup(*_cache(spark, sf))
-
-
 def _cache(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"))
     held = cache.entries(d.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"), "model", F.col("text").alias("response"), F.col("doc_id").cast("double").alias("created_at")), 100_000)
@@ -228,11 +179,6 @@ def _cache(spark, sf):
     return held, asked.select(F.col("item_id").alias("request_id"), F.coalesce(d["text"], b["text"]).alias("prompt"), model.alias("model"), F.lit(50_000.0).alias("now"))
 
 
-@query("m12_cache_stats")
-def m12_cache_stats(spark, sf):
-    return cache.stats(cache.lookup(*_cache(spark, sf)))
-
-
 @query("h3_live_entries", "SELECT doc_id AS id, 'm' || (doc_id % 3) AS model FROM documents WHERE 100500 - doc_id <= 100000")
 def h3_live_entries(spark, sf):
     return cache.live(_cache(spark, sf)[0], 100_500.0).select("id", "model")
@@ -349,24 +295,3 @@ def f15_rewrite(spark, sf):
     e = F.col("event_id")
     made = F.when(e % 4 == 0, F.concat(F.lit("cat f"), e.cast("string"))).when(e % 4 == 1, "ls -l").when(e % 4 == 2, "npm test").otherwise("pwd")
     return table(spark, sf, "events").select("event_id", session.rewrite_command(made, e % 10 / F.lit(10.0)).alias("command"))
-
-
-@query("r4_operations", """
-WITH q AS (SELECT item_id, 'get' AS method, 'listing users' AS said FROM benchmark)
-SELECT item_id AS schema_id, '/users' AS path, 'get' AS method, 1 AS rank FROM q""")
-def r4_operations(spark, sf):
-    made = '{"openapi":"3","paths":{"/users":{"get":{"summary":"listing users"},"delete":{"summary":"gone","deprecated":true}},"/pets":{"get":{"summary":"pets"}}}}'
-    s = table(spark, sf, "benchmark").select(F.col("item_id").alias("schema_id"), F.lit(made).alias("schema"), F.lit("the listing of users").alias("task"))
-    return schemas.best_operations(schemas.score_operations(s), 1).select("schema_id", "path", "method", "rank")
-
-
-@query("p1_compress_documents")
-def p1_compress_documents(spark, sf):
-    return pipeline.compress_documents(messy(spark, sf)).drop("text", "source", "stages")
-
-
-@query("p2_lossless_only")
-def p2_lossless_only(spark, sf):
-    from dataclasses import replace
-
-    return replace(pipeline.build(), skip_lossy=True).run(messy(spark, sf)).drop("text", "source", "stages")

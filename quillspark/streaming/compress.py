@@ -53,10 +53,12 @@ def compress_stream(
     indent: int = 2,
     language: str = "auto",
     remember: int = 5000,
-    idle_ms: int = 600_000,
+    idle_ms: int | None = 600_000,
 ) -> DataFrame:
     """chunks (stream_id, seq, chunk, is_end), a streaming DataFrame: stream_id, seq, text for each chunk that completes
     a paragraph. The end marker, or idle_ms without a chunk, gives out the rest (seq -1 when idle) and clears the state.
+    With idle_ms none, streams wait for their end marker; a query that runs until its input is used up needs that, as
+    one that waits for idle streams has no last batch.
 
     A stream's state is its open paragraph and the texts of the last `remember` sentences kept, so it is bounded; a
     sentence is compared with those. Streams are spread by stream_id."""
@@ -79,10 +81,12 @@ def compress_stream(
                 state.remove()
             else:
                 state.update((held.buffer, list(held.kept.units)))
-                state.setTimeoutDuration(idle_ms)
+                if idle_ms is not None:
+                    state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([r for r in rows if r[2]], columns=["stream_id", "seq", "text"])
 
     kind = chunks.schema["stream_id"].dataType.simpleString()
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, f"stream_id {kind}, seq long, text string", "buffer string, kept array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+        step, f"stream_id {kind}, seq long, text string", "buffer string, kept array<string>", "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
+    )
