@@ -68,3 +68,37 @@ def test_stream_paragraphs():
     said = "The quick brown fox jumps over lazy dogs today."
     assert s.feed(f"{said}\n\n{said}\n\nta") == f"{said}\n\n"
     assert s.feed("il") == "" and s.flush() == "tail"
+
+
+def test_stream_says_what_the_batch_says(spark):
+    """A stream's paragraphs against the pipeline on each paragraph, with sentences remembered across them."""
+    import random
+
+    draw = random.Random(3)
+    said = [f"The {a} fox jumps over {b} lazy dogs near the old river." for a in ("brown", "red", "black") for b in ("two", "nine")]
+    paragraphs = [f"<content>{'   '.join(draw.sample(said, 2))}</content>\n\tindented &amp; more" for _ in range(12)]
+    text = "\n\n".join(paragraphs)
+    s, out, i = StreamState(), "", 0
+    while i < len(text):
+        n = draw.randrange(1, 30)
+        out += s.feed(text[i : i + n])
+        i += n
+    out += s.flush()
+    d = spark.createDataFrame([(i, p) for i, p in enumerate(paragraphs)], "doc_id int, text string")
+    lossless = {r.doc_id: r.compressed for r in pipeline.compress_documents(d, pipeline.Config(techniques=("whitespace", "deduplication", "format"))).collect()}
+    kept = arrow.Kept()
+    assert out == "\n\n".join(x for i in range(12) if (x := arrow.leader_fold(lossless[i], kept)))
+    assert 1 < len(out) < len(text)
+
+
+def test_eslint_without_findings_stays():
+    report = '[{"filePath":"a.js","messages":[]}]'
+    assert arrow.summarize_eslint(report) == report and arrow.summarize_eslint("no json") is None
+
+
+def test_a_read_again_is_known(spark):
+    body = "\n".join(f"line {i}" for i in range(100))
+    rows = [("Read", None, body, 0.1, "s", "a.py", 1), ("Read", None, body, 0.1, "s", "a.py", 2), ("Read", None, body + "\nmore", 0.1, "s", "a.py", 3), ("Read", None, "x", 0.1, "s", None, 4), ("Other", None, "x", 0.1, "s", None, 5)]
+    d = spark.createDataFrame(rows, "tool_name string, command string, output string, fill double, session_id string, path string, seq long")
+    got = {r.seq: r.shown for r in pipeline.compress_tool_events(d).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1] is None and got[2].startswith("[a.py: unchanged") and "+more" in got[3] and got[4] is None and got[5] is None
