@@ -3,6 +3,9 @@
 Every round each root that has a smaller neighbour takes the smallest as its parent; the forest is flattened by
 pointer jumping; links are rewritten to roots and those inside one tree go. The number of roots with links at least
 halves each round. Tables are checkpointed each round; nothing but counts reaches the driver.
+
+Defined results: links with a null end link nothing; a node's link to itself gives it no row; repeated links count once;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

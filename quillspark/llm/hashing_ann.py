@@ -6,16 +6,18 @@ code within `radius` of a query agrees in some substring up to radius // substri
 the query's substring and its neighbours of that distance retrieves every code within the radius. What is retrieved
 and within the radius is ranked again by double-precision inner products of the original vectors.
 
-The radius is the smallest at which, within the sample, `recall` of the true neighbours are found; in a larger table
-the neighbours are nearer, so recall there is higher. Queries that find fewer entries than places within the radius are
+The radius is set on the whole table: for up to ASKED vectors of the sample the true neighbours among all vectors are
+found by brute force, and the radius is the smallest that holds `recall` of them. So it shrinks as the table grows and
+its neighbours come nearer. The number of substrings is the one with the least estimated work at that radius: a small
+radius gets few, long and selective ones. Queries that find fewer entries than places within the radius are
 probed again with one half-way to all bits, and those still short with all bits, so each gets k whenever there are k.
 Equal vectors are one entry of the index with its smallest ids
 (never more than k + 1 can be among k results), and equal queries are answered once. Queries and vectors are dealt
 into blocks of bounded size and every block of queries meets every block of vectors, each with its own index; a task
-returns the best k + 1 a query.
+returns the best k + 1 a query. So a vector is copied once for each block of QUERY_BLOCK queries, whatever is near it.
 
-Defined results: vectors that are null, empty, zero, of another length than most of the sample, or that hold a null or
-non-finite component take no part; rows that repeat (equal id and vector) count once; an empty table gives an empty
+Defined results: rows without vec_id, and vectors that are null, empty, zero, of another length than most of the sample,
+or that hold a null or non-finite component take no part; rows that repeat (equal id and vector) count once; an empty table gives an empty
 result; other columns take no part.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
 
-SAMPLE = 4096
+SAMPLE, ASKED = 4096, 256
 VECTOR_BLOCK, QUERY_BLOCK = 16384, 2048
 
 
@@ -94,29 +97,51 @@ def usable(vector: Column) -> Column:
 
 
 def learn(vectors: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> tuple[Codes, int, int] | None:
-    """vectors: (vector). The codes, the radius and the vectors' length, from the sample with the smallest hashes."""
-    rows = vectors.orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow().column("vector").to_pylist()
-    if not rows:
+    """vectors: (entry, vector). The codes from the sample with the smallest hashes, the radius and the vectors' length."""
+    rows = vectors.orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow()
+    if not rows.num_rows:
         return None
-    size = max(sorted({len(r) for r in rows}), key=[len(r) for r in rows].count)
-    x = np.array([r for r in rows if len(r) == size], float)
+    held = rows.column("vector").to_pylist()
+    size = max(sorted({len(r) for r in held}), key=[len(r) for r in held].count)
+    fits = [i for i, r in enumerate(held) if len(r) == size]
+    x, names = np.array([held[i] for i in fits], float), rows.column("entry").to_numpy()[fits]
     codes = Codes(x)
-    c = codes(x)
-    asked = np.arange(0, len(x), max(1, len(x) // 256))
-    score = x[asked] @ x.T
-    score[np.arange(len(asked)), asked] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
-    apart = np.sort(np.bitwise_count(c[asked][:, None] ^ c[near]).ravel())
+    some = np.arange(0, len(x), max(1, len(x) // ASKED))[:ASKED]
+    asked, own, theirs = x[some], names[some], codes(x[some])
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = np.stack(batch["vector"].to_numpy())
+            score = asked @ held.T
+            score[own[:, None] == batch["entry"].to_numpy()[None, :]] = -np.inf
+            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            apart = np.bitwise_count(theirs[:, None] ^ codes(held)[at])
+            yield pd.DataFrame({"asked": np.repeat(np.arange(len(asked)), at.shape[1]), "score": np.take_along_axis(score, at, 1).ravel(), "apart": apart.ravel().astype("int32")})
+
+    near = vectors.filter(F.size("vector") == size).mapInPandas(nearest, "asked int, score double, apart int").filter("score > double('-Infinity')")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "apart"))
+    apart = np.sort(near.withColumn("place", place).filter(F.col("place") <= k).select("apart").toArrow().column("apart").to_numpy())
     radius = int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) if len(apart) else codes.bits
     return codes, radius, size
 
 
+def best_substrings(bits: int, radius: int, held: int) -> int:
+    """The number of substrings with the least work for a query of so many codes: keys probed, and entries found there."""
+
+    def work(m: int) -> float:
+        size = -(-bits // m)
+        keys = m * sum(comb(size, j) for j in range(min(radius // m, size) + 1))
+        return 1500 * keys + 2 * held * keys / (1 << size) + 50 * m * (1 << size) / QUERY_BLOCK  # the last for the tables
+
+    return min((m for m in range(1, bits + 1) if -(-bits // m) <= 16), key=work)
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
     recall: float = 0.97,
-    substrings: int = 16,
+    substrings: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -128,7 +153,7 @@ def search(
     number = Window.partitionBy("vector").orderBy("id")
     ids = rows.groupBy("vector", "id").agg(F.max("asks").alias("asks"))
     ids = stored(ids.withColumns({"entry": F.first("id").over(number), "n": F.row_number().over(number)}))
-    found = learn(ids.filter("n = 1").select("vector"), k, recall)
+    found = learn(ids.filter("n = 1").select("entry", "vector"), k, recall)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes, radius, size = found
@@ -153,7 +178,7 @@ def search(
         x, names = np.stack(held["vector"].to_numpy()), held["entry"].to_numpy()
         order = np.argsort(names, kind="stable")
         x, names = x[order], names[order]
-        index = Index(codes(x), codes.bits, min(substrings, codes.bits))
+        index = Index(codes(x), codes.bits, min(substrings or best_substrings(codes.bits, radius, len(x)), codes.bits))
         q = np.stack(asked["vector"].to_numpy())
         out = []
         for name, vector, code in zip(asked["entry"].to_numpy(), q, codes(q), strict=True):

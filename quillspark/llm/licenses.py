@@ -11,7 +11,8 @@ phrases) and is broadcast; the text's runs are generated, looked up and checked
 shuffled, by the row's number. One document is the most that meets in one task.
 
 Defined results: null text counts as empty; documents without a hit have n_base 0, null places, empty labels and
-score 0; rows that repeat are scanned each for itself; an empty table gives an empty result; other columns take no part.
+score 0; rows that repeat are scanned each for itself; labels that tie are sorted by name; texts of any length are
+scanned whole, one text in one task; an empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations

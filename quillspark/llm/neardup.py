@@ -19,7 +19,7 @@ So a group of m near copies costs about m pairs and not m * m / 2, and no link b
 
 Defined results: documents without words or text have n_shingles 0 and are linked with nothing; rows that repeat are
 linked; component_id is the smallest doc_id that isn't null; an empty table gives an empty result; other columns take
-no part.
+no part. A text is read whole in one worker: about 60 bytes of memory a byte of the longest text.
 """
 
 from __future__ import annotations

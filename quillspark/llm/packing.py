@@ -10,10 +10,13 @@ many patterns as lengths. Where what is left cannot fill a window, the last wind
 
 Pieces get a number within their length without bringing a length's pieces together: lengths are dealt into slices by
 a hash, numbered within each slice, and shifted by the counts of the slices before. Number and length give pattern,
-window and place. The broadcast tables have at most capacity rows (patterns) and capacity * slices rows (counts).
+window and place. Whole windows, most of all pieces, have as many slices as keep a slice near FULL_SLICE pieces. The
+broadcast tables have at most capacity rows (patterns), and capacity * SLICES rows and one for each FULL_SLICE whole
+windows (counts).
 
 Defined results: null text counts as empty and is the end token alone; rows that repeat are packed as often as they
-occur; an empty table gives an empty result; other columns take no part. doc_id may be null or repeat.
+occur; an empty table gives an empty result; other columns take no part. doc_id may be null or repeat. A text is tokenized whole
+in one worker: about 60 bytes of memory a byte of the longest text.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from quillspark.llm.textnp import mix, tidy
 
 #: Slices into which the pieces of one length are dealt to be numbered.
 SLICES = 256
+#: Whole windows in a slice, about.
+FULL_SLICE = 200_000
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -280,9 +285,11 @@ def pack(
     pieces = source.mapInArrow(
         _piece_rows(tokenizer_path, capacity, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
+    pieces = durable(pieces)
+    full = F.col("length") == capacity
+    slices = F.when(full, max(SLICES, pieces.filter(full).count() // FULL_SLICE)).otherwise(SLICES)
     # salted by content, so that equal pieces spread too
-    slice_of = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SLICES)).cast("int")
-    pieces = durable(pieces.withColumn("slice", slice_of))
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), slices).cast("int"))
     counts = pieces.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     counts = durable(counts.withColumn("before", F.coalesce(before, F.lit(0))))

@@ -17,11 +17,12 @@ empty result; other columns take no part.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable, stored
@@ -119,16 +120,17 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = 16, id_col: str = "doc
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Of rows that repeat doc_id and text, the one whose other
+    columns (as JSON) have the smallest hash stays."""
     found = durable(exact_duplicates(docs, 16, id_col, text_col))
-    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    out = keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__sha"]), "left_semi")
+    kept = found.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("kept")
+    said = F.sha2(F.coalesce(F.col(f"docs.{text_col}").cast("string"), F.lit("")), 256)
+    out = docs.alias("docs").join(kept, F.col(f"docs.{id_col}").eqNullSafe(F.col("kept.id")) & (said == F.col("kept.sha")), "left_semi")
     # only where a row repeats with its doc_id are there several to choose from
-    repeats = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if repeats:
-        from pyspark.sql import Window
-
-        pick = Window.partitionBy(id_col, "__key").orderBy(*[F.hash(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0)])
-        out = out.withColumn("__n", F.row_number().over(pick)).filter("__n = 1").drop("__n")
-    return out.drop("__key")
+    if not found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rest = [c for c in docs.columns if c not in (id_col, text_col)]
+        order = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+        key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+        place = f"__place_{uuid.uuid4().hex}"
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy(id_col, key).orderBy(order))).filter(F.col(place) == 1).drop(place)
+    return out

@@ -10,7 +10,8 @@ are counted before the shuffle; blocks meet the speakers of their conversation i
 
 Defined results: rows that repeat are rendered once; turns come in order of turn (null first), role and text; null text
 is empty; a null role is the speaker named `unknown`; a null conv_id is a conversation of its own; conversations with
-context turns alone give no row; an empty table gives an empty result; other columns take no part.
+context turns alone give no row; an empty table gives an empty result; other columns take no part. Texts of any length
+are rendered whole, a block of turns in one row.
 """
 
 from __future__ import annotations

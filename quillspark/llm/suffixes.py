@@ -16,6 +16,10 @@ together by two 64-bit hashes, and those that several documents hold are noted t
 Sorting spills and comparing streams, so a passage in very many documents needs no memory in proportion; documents'
 texts don't move, but for the words around the kept positions that repeat.
 
+Words are compared by 32 of their 64 hash bits within a context (a passage by 50 of them and the anchor's 64 bits), and by
+two 64-bit hashes of the whole window where windows meet; a text is read whole in one worker, about 60 bytes of memory a
+byte of the longest text.
+
 Defined results: null and short texts have no passage; repeats within one document alone are not noted; rows with equal
 doc_id (or none) are one document in this; an empty table gives an empty result; other columns take no part.
 """

@@ -70,6 +70,12 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 8, 8: 8} | {i: 20 for i in range(20, 51)}
 
 
+def test_components_of_odd_tables(spark):
+    links = spark.createDataFrame([(1, None), (None, 2), (None, None), (4, 4), (6, 5), (6, 5)], "a long, b long")
+    assert {r.node: r.root for r in components.components(links).collect()} == {5: 5, 6: 5}
+    assert components.components(links.filter("a > 99")).count() == 0
+
+
 def test_exact_duplicates(docs, empty):
     got = recipes.exact_duplicates(docs, digest_bytes=1).collect()  # short digests must be noticed and lengthened
     by_text = {}
@@ -91,6 +97,9 @@ def test_chunks_are_content_defined():
 def test_repeated_rows_leave_one(spark):
     d = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "b", None)], "doc_id long, text string, other string")
     assert recipes.keep_one(d).count() == 2
+    odd = d.selectExpr("doc_id", "text", "map(other, doc_id) AS __key", "1 AS id", "2 AS sha", "3 AS recipe").filter("other is not null")
+    kept = recipes.keep_one(odd)
+    assert kept.columns == odd.columns and [tuple(r) for r in kept.collect()] == [(1, "a", {"x": 1}, 1, 2, 3)]
 
 
 def test_mixing(docs, empty):
@@ -111,6 +120,65 @@ def test_licenses(docs, empty):
     assert sum(r.n_base > 0 for r in got.values()) == 1 and licenses.scan(empty).count() == 0
 
 
+def _license_rows(docs):
+    """Places of phrases, and spans of the other templates by votes for diagonals, told plainly."""
+    out = {}
+    for doc_id, text in docs:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in re.split(licenses.BREAK, lower) if w]
+        base, labels, shares = [], set(), [0.0]
+        for t in licenses.BASE:
+            p = t.words.split()
+            at = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+            base += [(i, t.label) for i in at]
+            shares += [1.0] * bool(at)
+        for t in licenses.NOTICES:
+            p = t.words.split()
+            votes = {}
+            for i in range(len(words) - 2):
+                for j in range(len(p) - 2):
+                    if words[i : i + 3] == p[j : j + 3]:
+                        votes.setdefault(i - j, set()).add(j)
+            groups = []
+            for d in sorted(votes):
+                if groups and d - groups[-1][-1] <= 3:
+                    groups[-1].append(d)
+                else:
+                    groups.append([d])
+            for g in groups:
+                share = len(set().union(*(votes[d] for d in g))) / (len(p) - 2)
+                span = max(d + max(votes[d]) + 3 for d in g) - min(d + min(votes[d]) for d in g)
+                shares.append(share)
+                if share >= t.least and span <= 1.5 * len(p):
+                    labels.add(t.label)
+        places = [i for i, _ in base]
+        found = {label for _, label in base}
+        out[doc_id] = (len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(found | labels)), max(shares))
+    return out
+
+
+def test_licenses_against_brute_force(spark):
+    draw = random.Random(12)
+    fill = lambda n: " ".join(draw.choice(["the", "license", "Under", "MIT", "cc", "by", "nc", "version", "2", "word", "of", "licensed", "apache"]) for _ in range(n))
+    rows = []
+    for i in range(120):
+        parts = [fill(draw.randrange(12))]
+        for _ in range(draw.randrange(4)):
+            words = draw.choice(licenses.BASE + licenses.NOTICES).words.split()
+            for _ in range(draw.choice([0, 0, 1, 3])):
+                k = draw.randrange(len(words))
+                words = draw.choice([[*words[:k], "extra", *words[k:]], [*words[:k], *words[k + 1 :]], [*words[:k], "other", *words[k + 1 :]]])
+            parts += [draw.choice([" ", "-", ".\n"]).join(words).title(), fill(draw.randrange(9))]
+        rows.append((i, " ".join(parts)))
+    rows += [(500, None), (501, ""), (502, "CC-BY-NC " * 3000), (503, "\u212aey MIT licen\u0130se under the m\u0131t license"), (504, rows[0][1])]
+    d = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, row string, hash int, template int").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, pytest.approx(r.score)) for r in licenses.scan(d).collect()}
+    expected = _license_rows(rows)
+    assert {k: v[:6] for k, v in got.items()} == {k: v[:6] for k, v in expected.items()}
+    assert all(got[k][6] == v[6] for k, v in expected.items())
+    assert sum("," in v[5] for v in expected.values()) > 5 and expected[502][1] == 3000
+
+
 def test_license_notice_with_a_word_put_in(spark):
     notice = licenses.NOTICES[0].words.replace("any person", "any other person")
     row = licenses.scan(spark.createDataFrame([(1, notice)], "doc_id long, text string")).first()
@@ -290,6 +358,25 @@ def test_neighbours_of_outlying_queries(spark):
     assert len(found) == 7 and all(r["count"] == 17 for r in found)
 
 
+def test_neighbours_among_clusters(spark):
+    """The radius of a clustered table is small, its substrings are long, and other columns don't matter."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 48))
+    x = (centres[np.arange(3000) % 60] + 0.15 * draw.normal(size=(3000, 48))).astype(np.float32)
+    rows = [(i, v.tolist(), "e", 1, 2.0, True) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, entry string, n int, score double, asks boolean").repartition(3)
+    got = {}
+    for r in hashing_ann.search(d, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    score = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(score, -np.inf)
+    assert set(got) == set(range(0, 3000, 20))
+    assert np.mean([len(set(got[q]) & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in got]) >= 0.9
+    entries = d.select(F.col("vec_id").alias("entry"), F.col("embedding").cast("array<double>").alias("vector"))
+    codes, radius, _ = hashing_ann.learn(entries, 20, 0.97)
+    assert radius < codes.bits // 3 and hashing_ann.best_substrings(codes.bits, radius, 16384) < hashing_ann.best_substrings(codes.bits, codes.bits // 2, 16384)
+
+
 def test_index_finds_all_within_the_radius():
     codes = np.random.default_rng(1).integers(0, 1 << 32, 2000, dtype=np.uint64)
     index = hashing_ann.Index(codes, 32, 4)
@@ -305,6 +392,11 @@ def test_rotation(spark):
     assert ann.text == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo<|end|>\n" and ann.n_turns == 3
     assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi<|end|>"]
     assert rotation.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    # a very long text, and other columns with the names of the result
+    long = "word " * 100_000
+    odd = [(1, 0, "ann", long, "b", "s", 1, "m"), (1, 1, "bob", "", "b", "s", 1, "m")]
+    got = {r.speaker: r for r in rotation.rotate(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string, block string, speaker string, parts int, conv string")).collect()}
+    assert got["ann"].text == f"<|assistant|>\n{long}<|end|>\n<|user name=bob|>\n<|end|>\n" and [(m.start, m.end) for m in got["ann"].mask] == [(14, 14 + len(long) + 7)]
 
 
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a><li>Far</ul></nav><div class="cookie-notice">Ok?</div><article><h1>A &amp; B</h1><p><b>One  two<br><p>Three &#233;<form>go</form></p><div class="comments"><p>first!</p></div></article><aside>x</aside><footer>&copy;</footer></body></html>'
@@ -521,3 +613,10 @@ def test_the_network_decides_what_goes(spark, tmp_path, monkeypatch):
     net.p["vf"][:, 1] = net.p["vb"][:, 1] = 9  # sure of a, at a loss about b
     monkeypatch.setattr(langid, "train", lambda labelled, **_: net)
     assert [tuple(r) for r in corpus_pipeline.identify_language(spark, d, str(tmp_path)).collect()] == rows[:1]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
