@@ -45,9 +45,13 @@ def small_or_shuffled(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(table) if table.count() <= limit else table
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of an Arrow batch at most. Texts are long, and the JVM and a worker each hold whole batches.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Arrow batches of the session are held to ARROW_ROWS rows from here on (smaller ones stay)."""
+    if not 0 < int(spark.conf.get(_ARROW)) <= ARROW_ROWS:
+        spark.conf.set(_ARROW, ARROW_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ import itertools
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable
-from quillspark.llm.textnp import mix, tidy
+from quillspark.llm.textnp import give_back, mix, tidy
 
 #: Slices into which the pieces of one length are dealt to be numbered.
 SLICES = 256
@@ -62,22 +62,32 @@ class Encoder:
 
     def __init__(self, path: str, keep: int = 600_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        symbols = _byte_symbols()
-        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.path = path
+        ranks, self.special, largest = self._vocabulary(path)
         self.plain = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(path)
-        self.special = list(special)
-        self.dtype = np.uint16 if max(spec["model"]["vocab"].values()) < 1 << 16 else np.uint32
+        self.dtype = np.uint16 if largest < 1 << 16 else np.uint32
         self.classes = self._classes()
-        self.codes = mix(np.arange(1, len(self.classes) + 1, dtype=np.uint64))
         self.keep = keep
         self._forget()
 
+    @staticmethod
+    def _vocabulary(path: str) -> tuple[dict[bytes, int], list[str], int]:
+        """Ids by bytes, the special tokens, and the largest id. What else the file holds is let go again."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        symbols = _byte_symbols()
+        special = {x["content"] for x in spec.get("added_tokens", [])}
+        vocab = spec["model"]["vocab"]
+        return {bytes(symbols[c] for c in token): i for token, i in vocab.items() if token not in special}, sorted(special), max(vocab.values())
+
+    @cached_property
+    def full(self):
+        """The library's tokenizer, made when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _classes() -> np.ndarray:
         """0 letter, 1 number, 2 other, 3 white space, by code point."""
@@ -86,13 +96,13 @@ class Encoder:
         import regex
 
         # surrogates can't occur in a text
-        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-        at = np.frombuffer(everything.encode("utf-32-le"), np.uint32)
         out = np.full(sys.maxunicode + 1, 2, np.uint8)
-        for value, pattern in ((0, r"\p{L}"), (1, r"\p{N}"), (3, r"\s")):
-            found = regex.findall(pattern, everything)
-            out[np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)] = value
-        assert len(at) == len(everything)
+        for begin, end in ((0, 0xD800), (0xE000, sys.maxunicode + 1)):
+            for at in range(begin, end, 1 << 14):
+                some = np.arange(at, min(at + (1 << 14), end), dtype="<u4").tobytes().decode("utf-32-le")
+                for value, pattern in ((0, r"\p{L}"), (1, r"\p{N}"), (3, r"\s")):
+                    found = "".join(regex.findall(pattern, some))
+                    out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = value
         return out
 
     def _forget(self) -> None:
@@ -169,7 +179,7 @@ class Encoder:
             for i in group:
                 out[i] = np.zeros(0, self.dtype)
             return
-        hashes = hash_spans(self.codes[points], begin, end)
+        hashes = hash_spans(mix(points.astype(np.uint64) + np.uint64(1)), begin, end)
         codes, distinct = pd.factorize(hashes)
         if self.count + len(distinct) > self.keep:
             self._forget()
@@ -196,7 +206,9 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    own = Encoder(path)
+    give_back()
+    return own
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

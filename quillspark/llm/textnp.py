@@ -42,6 +42,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def give_back() -> None:
+    """Memory that is no longer used goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """rows, after which a worker gives the memory that it no longer uses back to the system. Workers outlive their
     tasks, so what one long text took would otherwise stay with an executor during all later stages."""
@@ -52,10 +60,7 @@ def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         finally:
             if _POWERS and len(_POWERS[0]) > 1 << 20:
                 _POWERS.clear()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 
