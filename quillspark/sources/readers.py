@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+
+#: A table is dealt out anew only if it has less than this for each core: beyond, its files give enough splits.
+SMALL_SHARE = 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet table. One that is small, and so may be a single row group that one task reads, is dealt out to all
+    cores; the size is checked first, so large tables aren't moved."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().analyzed().stats().sizeInBytes()))  # of its files; no job runs
+    return rows.repartition(cores) if (64 << 10) < size < cores * SMALL_SHARE else rows
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
