@@ -88,7 +88,20 @@ def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-@query("op1_ngram_jaccard_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i+1:i+5], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, hash(unnest(s)) AS h, unnest(s) AS x FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.h = b.h AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * common >= 80 * (len(x.s) + len(y.s) - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""
+
+
+@query("op1_ngram_jaccard_join", NEAR_SQL)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
@@ -126,11 +139,32 @@ def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-@query("op6_sparse_suffixes")
+PASSAGES_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM w),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i+1:i+50], ' ')) AS h FROM places),
+several AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+found AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS apart FROM windows SEMI JOIN several USING (h)),
+united AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM found)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 - min(i) AS n_words FROM united GROUP BY doc_id, stretch
+"""
+
+
+@query("op6_sparse_suffixes", PASSAGES_SQL)
 def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents")).drop("first")
+
+
+#: What the given pages come to by plain replacements: they hold few kinds of markup in one article each.
+PAGES_SQL = """
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(t, '(?s)<!--.*?-->|</?(b|a|i|em|strong|span)( [^>]*)?>', '', 'g'), '<br>', ' '), '</?[a-z][a-z0-9]*( [^>]*)?>', chr(1), 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM c)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM d
+"""
 
 
-@query("op10_wrapper_texts")
+@query("op10_wrapper_texts", PAGES_SQL)
 def op10_wrapper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
