@@ -159,7 +159,7 @@ def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES_SQL = """
 WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS t FROM pages),
 b AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(t, '(?s)<!--.*?-->|</?(b|a|i|em|strong|span)( [^>]*)?>', '', 'g'), '<br>', ' '), '</?[a-z][a-z0-9]*( [^>]*)?>', chr(1), 'g') AS t FROM a),
-c AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') AS t FROM b),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM b),
 d AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM c)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM d
 """
