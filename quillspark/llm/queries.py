@@ -83,12 +83,32 @@ def op8_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary())
 
 
-@query("op4_license_diagonals")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', string_split('{t.words}', ' '), {t.exact}, {t.least}::DOUBLE)" for i, t in enumerate(licenses.BASE + licenses.NOTICES))
+LICENSES_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(template, label, p, exact, least)),
+runs AS (SELECT template, unnest(range(0, len(p) - 2)) AS j, p FROM t),
+looked AS (SELECT template, j, array_to_string(p[j+1:j+3], ' ') AS run FROM runs),
+d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT id, w, unnest(range(0, len(w) - 2)) AS i FROM d),
+votes AS (SELECT id, template, i - j AS diagonal, count(DISTINCT j) AS n, list(DISTINCT j) AS seen FROM places JOIN looked ON array_to_string(w[i+1:i+3], ' ') = run GROUP BY ALL),
+apart AS (SELECT v.*, t.* EXCLUDE (template), coalesce(exact OR diagonal - lag(diagonal) OVER (PARTITION BY id, v.template ORDER BY diagonal) > 3, true) AS apart FROM votes v JOIN t ON t.template = v.template),
+clusters AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY id, template ORDER BY diagonal) AS cluster FROM apart),
+spans AS (SELECT id, label, exact, least, min(diagonal) AS diagonal, len(list_distinct(flatten(list(seen)))) / CAST(len(any_value(p)) - 2 AS DOUBLE) AS share,
+  max(diagonal + list_max(seen)) + 3 - min(diagonal + list_min(seen)) <= 1.5 * len(any_value(p)) AS fits FROM clusters GROUP BY id, template, cluster, label, exact, least),
+told AS (SELECT *, exact AND share = 1 AS base, CASE WHEN exact THEN share = 1 ELSE share >= least AND fits END AS found FROM spans),
+per AS (SELECT id, count(*) FILTER (WHERE base) AS n_base, min(diagonal) FILTER (WHERE base) AS first_word, max(diagonal) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(share) FILTER (WHERE found OR NOT exact) AS score FROM told GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN per USING (id)
+"""
+
+
+@query("op4_license_diagonals", LICENSES_SQL)
 def op4_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEAR_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i+1:i+5], ' '))) END AS s FROM w),
