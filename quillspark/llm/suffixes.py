@@ -14,7 +14,8 @@ be a passage that no compared pair showed, all windows of min_words words around
 together by two 64-bit hashes, and those that several documents hold are noted too.
 
 Sorting spills and comparing streams, so a passage in very many documents needs no memory in proportion; documents'
-texts don't move, but for the words around the kept positions that repeat.
+texts don't move, but for the words around the kept positions that repeat. Anchors with very many places are sorted over
+many tasks, each of which also has the rows next to its range.
 
 Words are compared by 32 of their 64 hash bits within a context (a passage by 50 of them and the anchor's 64 bits), and by
 two 64-bit hashes of the whole window where windows meet; a text is read whole in one worker, about 60 bytes of memory a
@@ -27,10 +28,11 @@ doc_id (or none) are one document in this; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
@@ -85,16 +87,18 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 def _anchor_rows(k: int, min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(kept_positions(h, k, min_words)[1]) for _, h in _texts(batch)]
-            found = [x for x in found if len(x)]
+            found = [np.unique(kept_positions(h, k, min_words)[1], return_counts=True) for _, h in _texts(batch)]
+            found = [x for x in found if len(x[0])]
             if found:
-                anchor, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+                anchor, at, n = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True, return_counts=True)
+                places = np.bincount(at, np.concatenate([x for _, x in found])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n, pa.int64()), pa.array(places)], names=["anchor", "n", "places"])
 
     return tidy(rows)
 
 
-def _context_rows(k: int, min_words: int, bits, log2: int):
+def _context_rows(k: int, min_words: int, bits, log2: int, hot, wanted: bool):
+    """Places with the words around them: those of hot anchors (sorted) if wanted, else all others."""
     left_words, right_words = min_words - k, min_words + 14
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +111,9 @@ def _context_rows(k: int, min_words: int, bits, log2: int):
                     continue
                 key = (anchor & np.uint64((1 << log2) - 1)).astype(np.int64)
                 hit = table[key >> 3] >> (key & 7).astype(np.uint8) & 1 == 1
+                if len(hot.value):
+                    near = np.minimum(np.searchsorted(hot.value, anchor), len(hot.value) - 1)
+                    hit &= (hot.value[near] == anchor) == wanted
                 if not hit.any():
                     continue
                 forth = (h >> np.uint64(32)).astype(">u4")
@@ -166,8 +173,8 @@ def _match_rows(min_words: int):
                     out.append((x[1], x[2] - left, x[2] + right, first))
                     out.append((y[1], y[2] - left, y[2] + right, not first))
 
-            for r in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-                if run and (r[0], r[5]) != (run[0][0], run[0][5]):
+            for r in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+                if run and (r[0], r[5], r[6]) != (run[0][0], run[0][5], run[0][6]):
                     run, before = [], None
                 if run and r[1] != run[0][1]:
                     before, run_before = run[-1], run
@@ -248,27 +255,77 @@ def _bit_map(anchors: DataFrame) -> tuple[bytes, int]:
     return bits.astype("<u4").tobytes(), log2
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Places from which on an anchor is hot (more, in a table where more than MOST_HOT anchors had so many).
+HOT, MOST_HOT = 20_000, 200_000
+
+
+def _hot_anchors(kept: DataFrame, least: int) -> np.ndarray:
+    """The anchors with more than `least` places and more than their MOST_HOTth part of all places: MOST_HOT at most."""
+    total = kept.agg(F.sum("places")).first()[0] or 0
+    found = kept.filter(F.col("places") > max(least, total // MOST_HOT)).select("anchor").toArrow()
+    return np.sort(found.column("anchor").to_numpy().view(np.uint64))
+
+
+def _order(ways: DataFrame) -> list[Column]:
+    """What sorts the rows of an anchor and way: one side's words, the other's, the place."""
+    key = lambda way, other: F.when(F.col("way") == 0, F.col(way)).otherwise(F.col(other))
+    return [F.col("anchor"), F.col("way"), key("right", "left"), key("left", "right"), F.col("doc_id"), F.col("place")]
+
+
+def _edge_rows(ends: list[Row]) -> list[tuple]:
+    """Of ranges in order, with their first and last rows and the outermost rows of other documents than these: for each
+    range the last row before it of another document than its first, and the first after it of another than its last."""
+    out = []
+    for i, e in enumerate(ends):
+        for side, here, near, far in ((reversed(ends[:i]), e.head, "tail", "inner_tail"), (ends[i + 1 :], e.tail, "head", "inner_head")):
+            for other in side:
+                row = other[near] if other[near].doc_id != here.doc_id else other[far]
+                if row is not None:
+                    out.append((row.anchor, row.doc_id, row.place, row.left, row.right, row.way, e.part))
+                    break
+    return out
+
+
+def _in_ranges(ways: DataFrame) -> DataFrame:
+    """Rows of hot anchors, stored, dealt out by ranges of their order, so that one anchor takes many tasks; each range
+    (part) also has the rows next to it, of other documents than its outermost ones. To the driver come four rows a range."""
+    spark, columns = ways.sparkSession, ways.columns
+    parted = stored(ways.repartitionByRange(*_order(ways)).withColumn("part", F.spark_partition_id()))
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order(parted))], F.struct(*columns).alias("row"))
+    ends = parted.groupBy("part").agg(F.min(at)["row"].alias("head"), F.max(at)["row"].alias("tail"))
+    beside = parted.join(F.broadcast(ends.select(F.col("part").alias("of"), F.col("head.doc_id").alias("head_doc"), F.col("tail.doc_id").alias("tail_doc"))), F.col("part") == F.col("of"))
+    inner = [F.min(F.when(~F.col("doc_id").eqNullSafe(F.col("head_doc")), at))["row"].alias("inner_head"), F.max(F.when(~F.col("doc_id").eqNullSafe(F.col("tail_doc")), at))["row"].alias("inner_tail")]
+    ends = ends.join(beside.groupBy("part").agg(*inner), "part").orderBy("part").collect()
+    edges = spark.createDataFrame(_edge_rows(ends), parted.schema)
+    return parted.unionByName(edges).repartition("part").sortWithinPartitions("part", *_order(parted))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", hot_places: int = HOT) -> DataFrame:
     """Per document and maximal stretch that other documents hold too: doc_id, start_word, n_words, first (whether no
-    other place before it was found to hold any of it)."""
+    other place before it was found to hold any of it). hot_places decides speed alone."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    counted = source.select("text").mapInArrow(_anchor_rows(k, min_words), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    bits, log2 = _bit_map(stored(counted.filter("n > 1").select("anchor")))
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-    found = source.mapInArrow(_context_rows(k, min_words, sent, log2), f"anchor long, doc_id {kind}, place long, left binary, right binary")
-    ways = found.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
-    key = lambda way, other: F.when(F.col("way") == 0, F.col(way)).otherwise(F.col(other))
-    ways = ways.repartition("anchor", "way").sortWithinPartitions("anchor", "way", key("right", "left"), key("left", "right"), "doc_id", "place")
+    counted = source.select("text").mapInArrow(_anchor_rows(k, min_words), "anchor long, n long, places long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    kept = stored(counted.filter("n > 1").select("anchor", "places"))
+    bits, log2 = _bit_map(kept)
+    spark = docs.sparkSession
+    sent, hot = spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(_hot_anchors(kept, hot_places))
+    context = f"anchor long, doc_id {kind}, place long, left binary, right binary"
+    both = lambda d: d.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
+    ways = both(source.mapInArrow(_context_rows(k, min_words, sent, log2, hot, False), context)).withColumn("part", F.lit(0))
+    sorted_rows = [ways.repartition("anchor", "way").sortWithinPartitions(*_order(ways))]
+    if len(hot.value):
+        sorted_rows.append(_in_ranges(both(stored(source.mapInArrow(_context_rows(k, min_words, sent, log2, hot, True), context)))))
     stretch = f"doc_id {kind}, start long, end long, first boolean"
-    matched = ways.mapInArrow(_match_rows(min_words), f"{stretch}, anchor long, left long, right long, noted_left long, noted_right long")
+    seen = f"{stretch}, anchor long, left long, right long, noted_left long, noted_right long"
+    matched = reduce(DataFrame.union, [d.mapInArrow(_match_rows(min_words), seen) for d in sorted_rows])
     most = [F.max(c).alias(c) for c in ("left", "right", "noted_left", "noted_right")]
     matched = stored(matched.groupBy("doc_id", "start", "end", "anchor").agg(F.min("first").alias("first"), *most))
     noted = matched.filter("anchor is null").select("doc_id", "start", "end", "first")
     doubtful = F.col("anchor").isNotNull() & (F.col("left") + F.col("right") >= min_words) & ((F.col("noted_left") < F.col("left")) | (F.col("noted_right") < F.col("right")))
     open_anchors = stored(matched.filter(doubtful).select("anchor").distinct())
     if not open_anchors.isEmpty():
-        again = docs.sparkSession.sparkContext.broadcast((held := _bit_map(open_anchors))[0])
+        again = spark.sparkContext.broadcast((held := _bit_map(open_anchors))[0])
         windows = source.mapInArrow(_window_rows(k, min_words, again, held[1]), f"a long, b long, doc_id {kind}, start long")
         windows = windows.repartition("a", "b").sortWithinPartitions("a", "b", F.asc_nulls_last("doc_id"), "start")
         noted = noted.unionByName(windows.mapInArrow(_equal_rows(min_words), stretch)).groupBy("doc_id", "start", "end").agg(F.min("first").alias("first"))

@@ -185,19 +185,37 @@ def test_license_notice_with_a_word_put_in(spark):
     assert row.labels == "mit" and 0.8 <= row.score < 1 and row.n_base == 0
 
 
-def test_repeated_passages(docs, empty):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+def test_repeated_passages(docs, empty, hot):
     words = {r[0]: (r[1] or "").split() for r in _rows()}
     holders = {}
     for k, w in words.items():
         for i in range(len(w) - 49):
             holders.setdefault(tuple(w[i : i + 50]), set()).add(k)
     expected = {(k, j) for k, w in words.items() for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)}
-    got = {(r.doc_id, j) for r in suffixes.repeated_passages(docs).collect() for j in range(r.start_word, r.start_word + r.n_words)}
+    got = {(r.doc_id, j) for r in suffixes.repeated_passages(docs, hot_places=hot).collect() for j in range(r.start_word, r.start_word + r.n_words)}
     assert got == expected
-    assert suffixes.repeated_passages(empty).count() == 0
+    assert suffixes.repeated_passages(empty, hot_places=hot).count() == 0
 
 
-def test_repeated_passages_among_decoys(spark):
+def test_a_hot_anchor_over_many_ranges(spark):
+    """Few documents that hold a passage often, with shared words around it: rows of one document follow each other
+    across ranges, and nothing changes by sorting an anchor over many tasks."""
+    draw = random.Random(3)
+    new = lambda n: [f"h{draw.randrange(10**6)}" for _ in range(n)]
+    passage, sides = new(40), [new(12) for _ in range(4)]
+    texts = []
+    for i in range(12):
+        parts = [[*draw.choice(sides)[-draw.randrange(1, 12) :], *passage, *draw.choice(sides)[: draw.randrange(1, 12)], *new(5)] for _ in range(60 if i < 3 else 6)]
+        texts.append((i if i != 2 else None, " ".join(w for x in parts for w in x)))
+    d = spark.createDataFrame([*texts, (None, texts[5][1])], "doc_id long, text string").repartition(3)
+    rows = lambda hot: sorted(suffixes.repeated_passages(d, hot_places=hot).collect(), key=str)
+    found = rows(1)
+    assert len(found) > 10 and found == rows(suffixes.HOT)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+def test_repeated_passages_among_decoys(spark, hot):
     """A passage around a common anchor whose holders are neighbours in neither order."""
     draw = random.Random(8)
     new = lambda n: [f"v{draw.randrange(10**6)}" for _ in range(n)]
@@ -219,7 +237,7 @@ def test_repeated_passages_among_decoys(spark):
             holders.setdefault(tuple(w[j : j + 50]), set()).add(i)
     expected = {(i, x) for i, t in rows for j in range(len(t.split()) - 49) if len(holders[tuple(t.split()[j : j + 50])]) > 1 for x in range(j, j + 50)}
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {(r.doc_id, j) for r in suffixes.repeated_passages(d).collect() for j in range(r.start_word, r.start_word + r.n_words)}
+    got = {(r.doc_id, j) for r in suffixes.repeated_passages(d, hot_places=hot).collect() for j in range(r.start_word, r.start_word + r.n_words)}
     assert expected and got == expected
 
 
