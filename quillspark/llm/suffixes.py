@@ -51,16 +51,25 @@ def _window_min(h: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
+def _rolled(h: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
+    """The polynomial in step of h[i : i + width] for each i that has so many, by doubling."""
+    out, have = h, 1
+    for bit in f"{width:b}"[1:]:
+        out = out[:-have] * np.uint64(pow(int(step), have, 1 << 64)) + out[have:]
+        have *= 2
+        if bit == "1":
+            out = out[:-1] * step + h[have:]
+            have += 1
+    return out
+
+
 def kept_positions(hashed: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the minimisers of one text's word hashes, and the hashes of the k words there."""
     n = len(hashed) - k + 1
     width = min_words - k + 1
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rolled = np.zeros(n, np.uint64)
-    for j in range(k):
-        rolled = rolled * _STEP + hashed[j : j + n]
-    rolled = mix(rolled)
+    rolled = mix(_rolled(hashed, k, _STEP))
     low = _window_min(rolled, width)
     # position i is kept if it is least in a window: the greatest of the window minima over the windows that hold it
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
@@ -196,9 +205,14 @@ def _match_rows(min_words: int):
 def _window_rows(k: int, min_words: int, bits, log2: int):
     """All windows of min_words words that hold one of the anchors: two hashes, document and start."""
 
+    def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        a, b, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(start, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "start"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.frombuffer(bits.value, np.uint8)
+            table, found, size = np.frombuffer(bits.value, np.uint8), [], 0
             for r, h in _texts(batch):
                 at, anchor = kept_positions(h, k, min_words)
                 key = (anchor & np.uint64((1 << log2) - 1)).astype(np.int64)
@@ -206,17 +220,17 @@ def _window_rows(k: int, min_words: int, bits, log2: int):
                 if not len(at):
                     continue
                 n = len(h) - min_words + 1
-                start = np.unique((at[:, None] - np.arange(min_words - k + 1)).ravel())
-                start = start[(start >= 0) & (start < n)]
-                a, b = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-                for j in range(min_words):
-                    a = a * _STEP + h[start + j]
-                    b = (b ^ h[start + j]) * _OTHER
-                    b ^= b >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(pa.array(np.full(len(start), r, np.int32))), pa.array(start, pa.int64())],
-                    names=["a", "b", "doc_id", "start"],
-                )
+                holds = np.zeros(n + 1, np.int64)  # how many anchors' windows begin less end
+                np.add.at(holds, np.maximum(at - (min_words - k), 0), 1)
+                np.add.at(holds, np.minimum(at + 1, n), -1)
+                start = np.flatnonzero(np.cumsum(holds[:-1]))
+                found.append((_rolled(h, min_words, _STEP)[start], _rolled(mix(h), min_words, _OTHER)[start], np.full(len(start), r, np.int32), start))
+                size += len(start)
+                if size >= 20_000:
+                    yield packed(batch, found)
+                    found, size = [], 0
+            if found:
+                yield packed(batch, found)
 
     return tidy(rows)
 

@@ -199,19 +199,31 @@ def test_repeated_passages(docs, empty, hot):
 
 
 def test_a_hot_anchor_over_many_ranges(spark):
-    """Few documents that hold a passage often, with shared words around it: rows of one document follow each other
-    across ranges, and nothing changes by sorting an anchor over many tasks."""
+    """Sorted over many tasks, places find what they find in one: also where the rows of one document (or of none)
+    follow each other across ranges."""
     draw = random.Random(3)
-    new = lambda n: [f"h{draw.randrange(10**6)}" for _ in range(n)]
-    passage, sides = new(40), [new(12) for _ in range(4)]
-    texts = []
-    for i in range(12):
-        parts = [[*draw.choice(sides)[-draw.randrange(1, 12) :], *passage, *draw.choice(sides)[: draw.randrange(1, 12)], *new(5)] for _ in range(60 if i < 3 else 6)]
-        texts.append((i if i != 2 else None, " ".join(w for x in parts for w in x)))
-    d = spark.createDataFrame([*texts, (None, texts[5][1])], "doc_id long, text string").repartition(3)
-    rows = lambda hot: sorted(suffixes.repeated_passages(d, hot_places=hot).collect(), key=str)
-    found = rows(1)
-    assert len(found) > 10 and found == rows(suffixes.HOT)
+    side = lambda n: b"".join(bytes([0, 0, 0, draw.choice((1, 1, 1, 2))]) for _ in range(n))
+    rows = [(draw.choice((7, 7, 8)), draw.choice((0, 0, 0, 1, 2, None, None)), i, side(6), side(6), way) for i in range(400) for way in (0, 1)]
+    ways = spark.createDataFrame(rows, "anchor long, doc_id long, place long, left binary, right binary, way int")
+    seen = "doc_id long, start long, end long, first boolean, anchor long, left long, right long, noted_left long, noted_right long"
+
+    def found(sorted_rows):
+        most = [F.max(c) for c in ("left", "right", "noted_left", "noted_right")]
+        matched = sorted_rows.mapInArrow(suffixes._match_rows(8), seen).groupBy("doc_id", "start", "end", "anchor").agg(F.min("first"), *most)
+        return {tuple(r) for r in matched.collect()}
+
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    before = {x: spark.conf.get(x) for x in settings}
+    try:
+        for x, value in settings.items():
+            spark.conf.set(x, value)
+        dealt = suffixes._in_ranges(ways)
+        parts, split = dealt.select("part").distinct().count(), found(dealt)
+    finally:
+        for x, value in before.items():
+            spark.conf.set(x, value)
+    whole = ways.withColumn("part", F.lit(0)).coalesce(1).sortWithinPartitions(*suffixes._order(ways))
+    assert parts > 30 and split == found(whole)
 
 
 @pytest.mark.parametrize("hot", [suffixes.HOT, 1])
