@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import hamming_similarity, simhash
@@ -46,12 +47,42 @@ class _Latest:
 _HIT = "request_id {kind}, id {id}, model string, created_at double, prompt_hash string, similarity double"
 
 
-def lookup(cache: DataFrame, requests: DataFrame, threshold: float = 0.95, newest: int = 200) -> DataFrame:
+#: Events of a model in one stretch of time, on average. A task reads whole stretches.
+STRETCH = 100_000
+
+
+def _carried(events: DataFrame, newest: int) -> DataFrame:
+    """events with a part of their model's time: for each part the `newest` last entries before it, as rows of it. At
+    most newest + 1 rows a part stream by in order of time."""
+    last = Window.partitionBy("model", "part").orderBy(F.desc("at"), F.desc("id"))
+    ends = events.filter("asks = 0").withColumn("back", F.row_number().over(last)).filter(F.col("back") <= newest).drop("back")
+    marked = ends.withColumn("begins", F.lit(0)).unionByName(events.select("model", "part").distinct().withColumn("begins", F.lit(1)), allowMissingColumns=True)
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = (), deque(maxlen=newest)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (row["model"],) != model:
+                    model, held = (row["model"],), deque(maxlen=newest)
+                if row["begins"]:
+                    out += [{**x, "part": row["part"]} for x in held]
+                else:
+                    held.append(row)
+            yield pa.RecordBatch.from_pylist(out, batch.schema)
+
+    dealt = marked.repartition("model").sortWithinPartitions("model", "part", F.desc("begins"), "at", "id")
+    return dealt.mapInArrow(carry, dealt.schema).drop("begins")
+
+
+def lookup(cache: DataFrame, requests: DataFrame, threshold: float = 0.95, newest: int = 200, stretch: int = STRETCH) -> DataFrame:
     """requests (request_id, prompt, model, now): request_id, hit_id, response, similarity. Among a model's `newest`
     latest entries before the request, the latest that hasn't expired and is similar enough.
 
     Entries and requests of a model stream by in order of time, and the last `newest` entries are held, so no request is
-    paired with older ones. Prompts and responses don't travel; responses are fetched for the hits."""
+    paired with older ones. A model with more events than `stretch` is dealt out by equal parts of its time, each of which
+    also has the last entries before it. Prompts and responses don't travel; responses are fetched for the hits. Requests
+    without model or time find nothing, and entries without them answer none."""
     asked = requests.select("request_id", "model", F.col("now").cast("double").alias("at"), simhash(F.col("prompt")).alias("mark"))
     known = ["id", "model", "created_at", "prompt_hash"]
     events = cache.select("model", F.col("created_at").cast("double").alias("at"), F.lit(0).alias("asks"), F.col("simhash").alias("mark"), "id", "prompt_hash", F.col("ttl_seconds").cast("double").alias("ttl"))
@@ -62,18 +93,24 @@ def lookup(cache: DataFrame, requests: DataFrame, threshold: float = 0.95, newes
         model, held = (), _Latest(newest)
         for batch in batches:
             out = []
-            for m, at, asks, mark, id_, hash_, ttl, request in zip(*(batch.column(c).to_pylist() for c in ("model", "at", "asks", "mark", "id", "prompt_hash", "ttl", "request_id")), strict=True):
-                if (m,) != model:
-                    model, held = (m,), _Latest(newest)
+            for m, part, at, asks, mark, id_, hash_, ttl, request in zip(*(batch.column(c).to_pylist() for c in ("model", "part", "at", "asks", "mark", "id", "prompt_hash", "ttl", "request_id")), strict=True):
+                if (m, part) != model:
+                    model, held = (m, part), _Latest(newest)
                 if not asks:
                     held.add(mark, (at, ttl, id_, hash_))
-                elif m is not None and at is not None and (found := held.answer(mark, at, threshold)):
+                elif (found := held.answer(mark, at, threshold)):
                     out.append((request, found[0][2], m, found[0][0], found[0][3], found[1]))
             columns = list(zip(*out, strict=True)) or [()] * 6
             types = [batch.schema.field("request_id").type, batch.schema.field("id").type, pa.string(), pa.float64(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["request_id", *known, "similarity"])
 
-    dealt = events.filter("at is not null or asks = 1").repartition("model").sortWithinPartitions("model", "at", "asks", "id")
+    events = events.filter("at is not null and model is not null")
+    span = events.groupBy("model").agg(F.floor(F.count("*") / stretch).alias("parts"), F.min("at").alias("begin"), F.max("at").alias("end"))
+    part = F.floor((F.col("at") - F.col("begin")) / (F.col("end") - F.col("begin")) * F.col("parts"))
+    events = events.join(span, "model").withColumn("part", F.when((F.col("parts") > 0) & (F.col("end") > F.col("begin")), part).otherwise(0))
+    columns = ["model", "part", "at", "asks", "mark", "id", "prompt_hash", "ttl", "request_id"]
+    dealt = events.select(columns).unionByName(_carried(events.filter("parts > 0").select(columns), newest))
+    dealt = dealt.repartition("model", "part").sortWithinPartitions("model", "part", "at", "asks", "id")
     best = dealt.mapInArrow(answers, _HIT.format(kind=kinds["request_id"], id=kinds["id"]))
     fetched = best.alias("b").join(cache.select(*known, "response").alias("c"), [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in known])
     hits = fetched.groupBy("request_id").agg(F.min("b.id").alias("hit_id"), F.min("response").alias("response"), F.min("similarity").alias("similarity"))

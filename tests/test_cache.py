@@ -26,14 +26,14 @@ def test_lookup_against_brute_force(spark):
     prompts = sorted({r[1] for r in held + asked})
     marks = {r.p: r.h for r in spark.createDataFrame([(p,) for p in prompts], "p string").select("p", simhash(F.col("p")).alias("h")).collect()}
     alike = lambda a, b: 1 - ((marks[a] ^ marks[b]) & (1 << 64) - 1).bit_count() / 64
-    for newest in (200, 5):
+    for newest, stretch in ((200, cache.STRETCH), (200, 7), (5, 2)):
         expected, near = {}, 0
         for i, prompt, model, now in asked:
             met = sorted((e for e in held if e[2] == model and e[4] <= now), key=lambda e: (-e[4], -e[0]))[:newest]
             hits = [(e[0], e[3], alike(prompt, e[1])) for e in met if now - e[4] <= 300 and alike(prompt, e[1]) >= 0.95]
             expected[i] = hits[0] if hits else (None, None, None)
             near += bool(hits) and hits[0][2] < 1
-        found = cache.lookup(entries, requests, newest=newest)
+        found = cache.lookup(entries, requests, newest=newest, stretch=stretch)
         assert {r.request_id: (r.hit_id, r.response, r.similarity) for r in found.collect()} == expected
         n = sum(e[0] is not None for e in expected.values())
         assert 0 < n < 60 and near > 0
